@@ -8,7 +8,6 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
 from millgauge.operators.heavy import HOT_ROWS, attach, running_total, split_heavy
 
@@ -298,7 +297,7 @@ def median_ci(
     ``(1 - conf) / 2``; both are null when the group is too small for a bound (k = 0).
     """
 
-    @pandas_udf("long")
+    @F.pandas_udf("long")
     def rank_for(sizes: pd.Series) -> pd.Series:
         known = {n: median_interval_rank(n, conf) for n in sizes.unique()}
         return sizes.map(known)
