@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from millgauge.functions.geo import RING_TYPE, centroid, orient
+from millgauge.functions.geo import RING_TYPE, centroid, orient, ring_area
 
 _RING = "array<array<double>>"
 
@@ -70,8 +70,6 @@ def write_geojson(df: DataFrame, path: str, rings: str = "rings") -> None:
         lambda r: F.when(r[0] == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1))),
     )
     pairs = F.transform(closed, lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"])))
-    from millgauge.functions.geo import ring_area
-
     empty = F.array().cast(f"array<array<{_RING}>>")
     parts = F.aggregate(
         F.arrays_zip(pairs.alias("ring"), F.transform(rings, ring_area).alias("area")),

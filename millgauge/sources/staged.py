@@ -85,8 +85,11 @@ def compact(
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     size = fs.getContentSummary(hadoop).getLength()
     files = max(1, math.ceil(size / target_bytes))
-    table = spark.read.parquet(source)
-    (table.coalesce(files) if files < table.rdd.getNumPartitions() else table).write.mode(
-        "overwrite"
-    ).option("compression", "snappy").parquet(target)
+    (
+        spark.read.parquet(source)
+        .coalesce(files)
+        .write.mode("overwrite")
+        .option("compression", "snappy")
+        .parquet(target)
+    )
     return spark.read.parquet(target)
