@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millgauge.operators.heavy import HOT_ROWS, running_total
+from millgauge.operators.heavy import HOT_ROWS, Running, running_totals
 
 
 @dataclass(frozen=True)
@@ -119,15 +119,8 @@ def weighted_qcut(
     running total is sliced, so no step sorts the whole table in one task.
     """
     merged = df.groupBy(value).agg(F.sum(weight).alias(weight))
-    run = running_total(
-        merged,
-        [],
-        [F.col(value)],
-        F.col(weight),
-        into="_upto",
-        total="_total",
-        hot_rows=hot_rows,
-    )
+    spec = Running("_upto", [F.col(value)], F.col(weight), "_total")
+    run = running_totals(merged, [], [spec], hot_rows)
     share = F.try_divide(F.col("_upto").cast("double"), F.col("_total"))
     if per_group is not None:
         bins = F.ceil(F.col("_total") / per_group)

@@ -1,10 +1,14 @@
 """Heavy groups: finding them, and ordering rows inside them without one giant task.
 
 A window ``partitionBy(key)`` puts every row of a key into one task. That is fine until
-one key holds a large share of the table. The helpers here treat groups of at most
-``hot_rows`` rows the ordinary way and cut larger ones into ordered slices of roughly
-``hot_rows`` rows, so that the window runs per slice and a small table of slice totals
-supplies what came before.
+one key holds a large share of the table. The operators of this package therefore look first
+(:func:`has_heavy`, one map-side combined count per key, of which only a yes or no reaches the
+driver). Without heavy groups they use the plain window or aggregate. With them, groups above
+``hot_rows`` rows are cut into ordered slices of roughly ``hot_rows`` rows, the window runs per
+slice, and a small table of slice totals supplies what came before.
+
+The look and the slicing read the input more than once, so hand these operators a staged table
+rather than a long chain of joins (the pipeline does).
 
 Broadcast bound: a table of N rows has at most ``N / hot_rows`` groups with more than
 ``hot_rows`` rows, and at most that many slices, whatever the key distribution. With the
@@ -15,6 +19,7 @@ with this bound carry a broadcast hint in this package.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -48,15 +53,20 @@ def heavy_groups(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) ->
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
 
 
+def has_heavy(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Is there any group with more than ``hot_rows`` rows? Runs one job."""
+    return not heavy_groups(df, by, hot_rows).isEmpty()
+
+
 def split_heavy(
     df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """``(light, heavy)``: rows of ordinary groups and rows of heavy ones."""
-    hot = heavy_groups(df, by, hot_rows)
+) -> tuple[DataFrame, DataFrame | None]:
+    """``(light, heavy)``: rows of ordinary groups, and rows of heavy ones or None."""
+    if not has_heavy(df, by, hot_rows):
+        return df, None
     if not by:
-        size = hot.select("_n").scalar()
-        return df.where(size.isNull()), df.where(size.isNotNull())
-    hot = hot.drop("_n")
+        return df.limit(0), df
+    hot = heavy_groups(df, by, hot_rows).drop("_n")
     return attach(df, hot, by, "left_anti"), attach(df, hot, by, "left_semi")
 
 
@@ -72,22 +82,28 @@ def _slice_of(cuts: Column, key: Column) -> Column:
 
 
 def slice_heavy(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    samples: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``_hot_n`` (size of a heavy group, else null) and ``_slice`` (0 in ordinary groups).
 
     Slices are consecutive in ``order`` (ascending), so all rows of slice ``s`` precede all rows
     of slice ``s + 1``. Cut points come from rows picked by a hash of their order key: the pick
     does not depend on partitioning, so a recomputed task lands on the same slices, and the
-    result does not depend on the pick at all, only the balance does.
+    result does not depend on the pick at all, only the balance does. ``samples`` is the table to
+    pick from when ``df`` is a wider version of it.
     """
+    source = df if samples is None else samples
     key = F.struct(*[F.col(c) for c in order])
-    hot = heavy_groups(df, by, hot_rows).withColumn(
+    hot = heavy_groups(source, by, hot_rows).withColumn(
         "_k", F.least(F.expr(f"_n div {hot_rows}") + 1, F.lit(MAX_SLICES))
     )
     every = F.greatest(F.expr(f"_n div (_k * {SAMPLES_PER_SLICE})"), F.lit(1))
     picked = (
-        attach(df.select(*by, *order), hot, by, "inner")
+        attach(source.select(*by, *order), hot, by, "inner")
         .where(F.pmod(F.xxhash64(*order), every) == 0)
         .groupBy(*by, "_n", "_k")
         .agg(F.sort_array(F.collect_set(key)).alias("_picked"))
@@ -107,59 +123,85 @@ def slice_heavy(
     )
 
 
-def running_total(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column],
-    weight: Column | None = None,
-    into: str = "_running",
-    total: str | None = None,
-    hot_rows: int = HOT_ROWS,
+@dataclass(frozen=True)
+class Running:
+    """A running sum of ``weight`` (a row number when None) in ascending ``order``, as ``into``.
+
+    Negate numeric sort expressions for a descending order and end with a unique column, so that
+    the result is deterministic. ``total`` names an optional column for the whole-group sum.
+    """
+
+    into: str
+    order: Sequence[Column]
+    weight: Column | None = None
+    total: str | None = None
+
+
+def running_totals(
+    df: DataFrame, by: Sequence[str], specs: Sequence[Running], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Running sum of ``weight`` (row number when omitted) within ``by``, in ``order``.
+    """Add one or more running totals within ``by``.
 
-    ``order`` holds ascending sort expressions; negate numeric ones for a descending order and
-    end with a unique column so that the result is deterministic. ``total`` names an optional
-    column for the whole-group sum. One shuffle of the rows, on ``(by, _slice)``.
+    Ordinary groups: plain windows sharing one shuffle on ``by``. Heavy groups: one shuffle per
+    spec on ``(by, slice)`` plus the totals of the slices before.
     """
-    names = [f"_o{i}" for i in range(len(order))]
-    keyed = df.withColumns(dict(zip(names, order)))
-    if weight is not None:
-        keyed = keyed.withColumn("_w", weight)
-    sliced = slice_heavy(keyed, by, names, hot_rows)
-
-    part = W.partitionBy(*by, "_slice")
-    if weight is None:
-        local = F.row_number().over(part.orderBy(*names)).cast("long")
-        whole = F.count(F.lit(1))
-    else:
-        local = F.sum("_w").over(
-            part.orderBy(*names).rowsBetween(W.unboundedPreceding, W.currentRow)
+    keyed, names = df, []
+    for i, spec in enumerate(specs):
+        names.append([f"_o{i}_{j}" for j in range(len(spec.order))])
+        weight = {} if spec.weight is None else {f"_w{i}": spec.weight}
+        keyed = keyed.withColumns({**dict(zip(names[i], spec.order)), **weight})
+    helpers = [c for c in keyed.columns if c not in df.columns]
+
+    def running(i: int, part) -> Column:
+        if specs[i].weight is None:
+            return F.row_number().over(part.orderBy(*names[i])).cast("long")
+        frame = part.orderBy(*names[i]).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return F.sum(f"_w{i}").over(frame)
+
+    def whole(i: int) -> Column:
+        return F.count(F.lit(1)) if specs[i].weight is None else F.sum(f"_w{i}")
+
+    if not has_heavy(df, by, hot_rows):
+        part = W.partitionBy(*by)
+        added = {s.into: running(i, part) for i, s in enumerate(specs)}
+        added |= {s.total: whole(i).over(part) for i, s in enumerate(specs) if s.total}
+        return keyed.withColumns(added).drop(*helpers)
+
+    out, before = keyed, []
+    for i in range(len(specs)):
+        sliced = slice_heavy(keyed, by, names[i], hot_rows)
+        inside = W.partitionBy(*by)
+        before.append(
+            sliced.where(F.col("_hot_n").isNotNull())
+            .groupBy(*by, "_slice")
+            .agg(whole(i).alias("_s"))
+            .select(
+                *by,
+                F.col("_slice").alias(f"_slice{i}"),
+                F.sum("_s")
+                .over(inside.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
+                .alias(f"_before{i}"),
+                F.sum("_s").over(inside).alias(f"_all{i}"),
+            )
         )
-        whole = F.sum("_w")
-    added = {"_local": local}
-    if total is not None:
-        added["_whole"] = whole.over(part)
-    ranked = sliced.withColumns(added)
-
-    inside = W.partitionBy(*by)
-    before = (
-        sliced.where(F.col("_hot_n").isNotNull())
-        .groupBy(*by, "_slice")
-        .agg(whole.alias("_s"))
-        .select(
-            *by,
-            "_slice",
-            F.sum("_s")
-            .over(inside.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
-            .alias("_before"),
-            F.sum("_s").over(inside).alias("_all"),
+        out = slice_heavy(out, by, names[i], hot_rows, samples=keyed).withColumnRenamed(
+            "_slice", f"_slice{i}"
+        ).drop("_hot_n")
+    for i, spec in enumerate(specs):
+        part = W.partitionBy(*by, f"_slice{i}")
+        added = {f"_local{i}": running(i, part)}
+        if spec.total:
+            added[f"_whole{i}"] = whole(i).over(part)
+        out = attach(out.withColumns(added), before[i], [*by, f"_slice{i}"], "left")
+        earlier = F.col(f"_before{i}")
+        final = {
+            spec.into: F.when(earlier.isNull(), F.col(f"_local{i}")).otherwise(
+                F.col(f"_local{i}") + earlier
+            )
+        }
+        if spec.total:
+            final[spec.total] = F.coalesce(f"_all{i}", f"_whole{i}")
+        out = out.withColumns(final).drop(
+            f"_slice{i}", f"_local{i}", f"_whole{i}", f"_before{i}", f"_all{i}"
         )
-    )
-    out = attach(ranked, before, [*by, "_slice"], "left")
-    out = out.withColumn(
-        into, F.when(F.col("_before").isNull(), F.col("_local")).otherwise(F.col("_local") + F.col("_before"))
-    )
-    if total is not None:
-        out = out.withColumn(total, F.coalesce("_all", "_whole"))
-    return out.drop(*names, "_w", "_hot_n", "_slice", "_local", "_whole", "_before", "_all")
+    return out.drop(*helpers)

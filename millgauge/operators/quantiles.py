@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from millgauge.operators.heavy import HOT_ROWS, attach, running_total, split_heavy
+from millgauge.operators.heavy import HOT_ROWS, Running, attach, running_totals, split_heavy
 
 SKETCH_ACCURACY = 50_000
 BRACKET = 3 / SKETCH_ACCURACY
@@ -136,15 +136,16 @@ def exact_quantiles(
     larger groups go through :func:`_heavy_quantiles`. Both use the same interpolation.
     """
     light, heavy = split_heavy(df.select(*by, *probs), by, hot_rows)
+    if heavy is not None and not by:
+        return _heavy_quantiles(heavy, by, probs)
     light_q = light.groupBy(*by).agg(
         *[
             F.percentile(F.col(m), F.array(*[F.lit(float(p)) for p in ps])).alias(m)
             for m, ps in probs.items()
         ]
     )
-    if not by:
-        size = df.agg(F.count(F.lit(1))).scalar()
-        light_q = light_q.where(size <= hot_rows)
+    if heavy is None:
+        return light_q
     return light_q.unionByName(_heavy_quantiles(heavy, by, probs))
 
 
@@ -157,9 +158,8 @@ def exact_quantiles_sorted(
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    ranked = running_total(
-        ranked, by, [F.col(value)], F.col("_rows"), into="_end", total="_n", hot_rows=hot_rows
-    )
+    spec = Running("_end", [F.col(value)], F.col("_rows"), "_n")
+    ranked = running_totals(ranked, by, [spec], hot_rows)
     hits = None
     for p in probs:
         for r in (F.floor(F.lit(float(p)) * (F.col("_n") - 1)), F.ceil(F.lit(float(p)) * (F.col("_n") - 1))):
@@ -307,9 +307,8 @@ def median_ci(
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    ranked = running_total(
-        counts, by, [F.col(value)], F.col("_rows"), into="_end", total="_n", hot_rows=hot_rows
-    )
+    spec = Running("_end", [F.col(value)], F.col("_rows"), "_n")
+    ranked = running_totals(counts, by, [spec], hot_rows)
     sizes = counts.groupBy(*by).agg(F.sum("_rows").alias("_size"))
     ks = sizes.select("_size").distinct().withColumn("_k", rank_for("_size"))
     ranked = ranked.join(ks.withColumnRenamed("_size", "_n"), "_n", "left")

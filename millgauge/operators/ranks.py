@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from millgauge.operators.heavy import HOT_ROWS, running_total
+from millgauge.operators.heavy import HOT_ROWS, Running, running_totals
 
 
 def recency_rank(
@@ -23,7 +23,7 @@ def recency_rank(
     date sort last and do not use up a rank.
     """
     order = [F.col(date).isNull(), -F.unix_date(F.col(date)), F.col(tiebreak)]
-    ranked = running_total(df, keys, order, into="_rank", hot_rows=hot_rows)
+    ranked = running_totals(df, keys, [Running("_rank", order)], hot_rows)
     return ranked.withColumn(
         into, F.when(F.col(date).isNotNull(), F.col("_rank")).cast("int")
     ).drop("_rank")
@@ -54,6 +54,35 @@ def first_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank")
 
 
+def percentile_ranks(
+    df: DataFrame,
+    values: Mapping[str, str],
+    by: Sequence[str],
+    tiebreak: str,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Whole-number percentiles 1..100 within ``by``, 1 holding the highest values.
+
+    ``values`` maps output to value columns. ``ceil(rank / count * 100)`` in double arithmetic,
+    with the division first: ``7 / 100 * 100`` is slightly above 7 and gives 8, as in the published
+    numbers. Null values get no percentile.
+    """
+    specs = [
+        Running(
+            f"_rank_{into}",
+            [F.col(v).isNull(), -F.col(v), F.col(tiebreak)],
+            total=f"_size_{into}",
+        )
+        for into, v in values.items()
+    ]
+    ranked = running_totals(df, by, specs, hot_rows)
+    out = {}
+    for into, v in values.items():
+        share = F.col(f"_rank_{into}").cast("double") / F.col(f"_size_{into}")
+        out[into] = F.when(F.col(v).isNotNull(), F.ceil(share * 100)).cast("int")
+    return ranked.withColumns(out).drop(*[s.into for s in specs], *[s.total for s in specs])
+
+
 def percentile_rank(
     df: DataFrame,
     value: str,
@@ -62,17 +91,8 @@ def percentile_rank(
     into: str,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Whole-number percentile 1..100 of ``value`` within ``by``; 1 holds the highest values.
-
-    ``ceil(rank / count * 100)`` in double arithmetic, with the division first: ``7 / 100 * 100``
-    is slightly above 7 and gives 8, as in the published numbers. Null values get no percentile.
-    """
-    order = [F.col(value).isNull(), -F.col(value), F.col(tiebreak)]
-    ranked = running_total(df, by, order, into="_rank", total="_size", hot_rows=hot_rows)
-    share = F.col("_rank").cast("double") / F.col("_size")
-    return ranked.withColumn(
-        into, F.when(F.col(value).isNotNull(), F.ceil(share * 100)).cast("int")
-    ).drop("_rank", "_size")
+    """One percentile column; see :func:`percentile_ranks`."""
+    return percentile_ranks(df, {into: value}, by, tiebreak, hot_rows)
 
 
 def ntile(
@@ -86,9 +106,8 @@ def ntile(
 ) -> DataFrame:
     """Tile number 1..tiles by ascending value; the first tiles take the remainder rows."""
     present = df.where(F.col(value).isNotNull())
-    ranked = running_total(
-        present, by, [F.col(value), F.col(tiebreak)], into="_rank", total="_size", hot_rows=hot_rows
-    )
+    spec = Running("_rank", [F.col(value), F.col(tiebreak)], total="_size")
+    ranked = running_totals(present, by, [spec], hot_rows)
     base, extra = F.expr(f"_size div {tiles}"), F.col("_size") % tiles
     wide = extra * (base + 1)
     tile = F.when(
@@ -104,7 +123,7 @@ def global_rank(
 ) -> DataFrame:
     """Row number over the whole table, highest value = 1; a null value gets no rank."""
     order = [F.col(value).isNull(), -F.col(value), F.col(tiebreak)]
-    ranked = running_total(df, [], order, into="_rank", hot_rows=hot_rows)
+    ranked = running_totals(df, [], [Running("_rank", order)], hot_rows)
     return ranked.withColumn(
         into, F.when(F.col(value).isNotNull(), F.col("_rank")).cast("int")
     ).drop("_rank")
@@ -118,7 +137,7 @@ def dense_rank_values(
     Distinct values are ranked and joined back, so rows are never pulled into one window.
     """
     distinct = df.select(value).where(F.col(value).isNotNull()).distinct()
-    ranks = running_total(distinct, [], [F.col(value)], into=into, hot_rows=hot_rows)
+    ranks = running_totals(distinct, [], [Running(into, [F.col(value)])], hot_rows)
     return df.join(ranks.withColumn(into, F.col(into).cast("int")), value, "left")
 
 

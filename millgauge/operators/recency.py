@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from millgauge.operators.heavy import HOT_ROWS, split_heavy
-from millgauge.operators.ranks import recency_rank
+from millgauge.operators.heavy import HOT_ROWS, Running, running_totals, split_heavy
+from millgauge.operators.joins import equi_join
 
 
 def recency_ranks(
@@ -18,10 +18,11 @@ def recency_ranks(
     overall: str = "MostRecentSale",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Rank within ``(period, entity)`` and within ``entity``, newest = 1.
+    """Rank within ``(period, entity)`` and within ``entity``, newest = 1, null without a date.
 
-    Both windows of ordinary entities run on one shuffle by ``entity``; an entity with more than
-    ``hot_rows`` rows goes through sliced ranks.
+    ``period`` must be the year (or month) of ``date``. Both windows of ordinary entities run on one
+    shuffle by ``entity``. For an entity with more than ``hot_rows`` rows the overall rank is
+    sliced, and the rank inside a period is what is left of it after the rows of later periods.
     """
     light, heavy = split_heavy(df, [entity], hot_rows)
     newest = [F.col(date).desc_nulls_last(), F.col(tiebreak).asc()]
@@ -31,6 +32,27 @@ def recency_ranks(
     ranked = light.withColumns(
         {by_period: F.when(dated, period_rank), overall: F.when(dated, overall_rank)}
     )
-    sliced = recency_rank(heavy, [period, entity], date, tiebreak, by_period, hot_rows)
-    sliced = recency_rank(sliced, [entity], date, tiebreak, overall, hot_rows)
+    if heavy is None:
+        return ranked
+
+    order = [F.col(date).isNull(), -F.unix_date(F.col(date)), F.col(tiebreak)]
+    sliced = running_totals(heavy, [entity], [Running("_rank", order)], hot_rows)
+    later = W.partitionBy(entity).orderBy(F.desc(period)).rowsBetween(W.unboundedPreceding, -1)
+    sizes = (
+        heavy.where(dated)
+        .groupBy(entity, period)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+        .drop("_n")
+    )
+    sliced = (
+        equi_join(sliced, sizes, [entity, period], "left")
+        .withColumns(
+            {
+                by_period: F.when(dated, F.col("_rank") - F.col("_later")).cast("int"),
+                overall: F.when(dated, F.col("_rank")).cast("int"),
+            }
+        )
+        .drop("_rank", "_later")
+    )
     return ranked.unionByName(sliced)

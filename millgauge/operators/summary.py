@@ -78,6 +78,8 @@ def summarise(
     plain = light.groupBy(*by).agg(
         *_mergeable(measures, counted), *[F.median(m).alias(f"{m}_median") for m in medians]
     )
+    if heavy is None:
+        return join_null_safe(plain, ids, by)
     heavy_medians = _heavy_quantiles(heavy, by, {m: [0.5] for m in medians}).select(
         *by, *[F.col(m)[0].alias(f"{m}_median") for m in medians]
     )

@@ -17,7 +17,7 @@ from millgauge.operators.heavy import HOT_ROWS
 from millgauge.operators.joins import Level, equi_join, fallback_lookup, role_lookup
 from millgauge.operators.panel import deflate
 from millgauge.operators.quality import coverage_report, duplicates, reconcile
-from millgauge.operators.ranks import percentile_rank
+from millgauge.operators.ranks import percentile_ranks
 from millgauge.operators.recency import recency_ranks
 from millgauge.operators.spatial import Layer, layered_join, located_only
 from millgauge.operators.summary import POOLED, SNAPSHOT, Mode, summary_cube
@@ -380,12 +380,8 @@ def tile_sales(
 ) -> DataFrame:
     """Rates, county-year percentiles of price and rate, and all labels."""
     rated = add_rates(staging)
-    ranked = percentile_rank(
-        rated, "SaleAmt", within, tiebreak, "SaleAmt_County_Percentile", hot_rows
-    )
-    ranked = percentile_rank(
-        ranked, "TaxRate", within, tiebreak, "TaxRate_County_Percentile", hot_rows
-    )
+    percentiles = {"SaleAmt_County_Percentile": "SaleAmt", "TaxRate_County_Percentile": "TaxRate"}
+    ranked = percentile_ranks(rated, percentiles, within, tiebreak, hot_rows)
     return add_bins(ranked, split_year)
 
 
