@@ -1,0 +1,5 @@
+"""Queries over the test tables, each with a SQL twin, one module per operator family."""
+
+from verification import expressions, ranking, relations
+
+CASE_MODULES = (expressions, relations, ranking)

@@ -286,19 +286,6 @@ RATED = """rated AS (
     FROM staging))"""
 
 
-def band_sql(column: str, spec) -> str:
-    """CASE expression of a band list, from the same edge list the library uses."""
-    arms = []
-    for b in spec:
-        tests = []
-        if b.low is not None:
-            tests.append(f"{column} {'>=' if b.low_closed else '>'} {b.low}")
-        if b.high is not None:
-            tests.append(f"{column} {'<=' if b.high_closed else '<'} {b.high}")
-        arms.append(f"WHEN {' AND '.join(tests)} THEN '{b.label}'")
-    return f"CASE {' '.join(arms)} END"
-
-
 WIDE_SQL = """CASE WHEN {c} < 100000 THEN '1 - <$100K'
   WHEN {c} BETWEEN 100000 AND 200000 THEN '2 - $100K-$200K'
   WHEN {c} > 200000 AND {c} < 250000 THEN '3 - $200K-$250K'
