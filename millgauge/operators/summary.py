@@ -34,12 +34,13 @@ class Mode:
     period: str
     recency: str
     columns: Mapping[str, str] = field(default_factory=dict)
+    period_type: str = "string"
 
     def column(self, measure: str) -> str:
         return self.columns.get(measure, measure)
 
 
-SNAPSHOT = Mode("Snapshot", "SaleRecordingYear", "RecentSaleByYear")
+SNAPSHOT = Mode("Snapshot", "SaleRecordingYear", "RecentSaleByYear", period_type="int")
 POOLED = Mode(
     "Pooled",
     "SaleRecordingYear_Bins",
@@ -214,8 +215,15 @@ def summary(
 ) -> DataFrame:
     """One summary table, for one time mode and one bin column present in ``tiles``."""
     cube = summary_cube(tiles, geo, [bin_column], {}, [mode], id_col, measures, hot_rows)
+    return one_table(cube, geo[0], bin_column, mode)
+
+
+def one_table(cube: DataFrame, geo_key: str, family: str, mode: Mode) -> DataFrame:
+    """One summary table out of the cube, with its own column names, sorted."""
     return (
-        cube.drop("mode", "bin_family")
-        .withColumnsRenamed({"bin": bin_column, "period": mode.period})
-        .orderBy(geo[0], bin_column, mode.period)
+        cube.where((F.col("mode") == mode.name) & (F.col("bin_family") == family))
+        .drop("mode", "bin_family")
+        .withColumn("period", F.col("period").cast(mode.period_type))
+        .withColumnsRenamed({"bin": family, "period": mode.period})
+        .orderBy(geo_key, family, mode.period)
     )

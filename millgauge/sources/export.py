@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+
+from millgauge.operators.summary import Mode, one_table
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -32,23 +34,19 @@ def export_cube(cube: DataFrame, directory: str, keys: Sequence[str] = ("mode",
 
 
 def export_queries(
-    cube: DataFrame, tables: Sequence[tuple[str, str]], geo_key: str, directory: str
+    cube: DataFrame, modes: Sequence[Mode], families: Sequence[str], geo_key: str, directory: str
 ) -> list[str]:
-    """Each ``(mode, bin family)`` table of the cube as parquet and CSV, named by its keys.
+    """Every (mode, bin family) table of the cube as parquet and CSV, named by its keys.
 
     ``cube`` should be staged (read back from :func:`export_cube`): every table is then one
     partition directory of that dataset.
     """
     paths = []
-    for mode, family in tables:
-        table = (
-            cube.where((F.col("mode") == mode) & (F.col("bin_family") == family))
-            .drop("mode", "bin_family")
-            .withColumnRenamed("bin", family)
-            .orderBy(geo_key, family)
-        )
-        base = f"{directory.rstrip('/')}/{mode}_{geo_key}_{family}_query"
-        write_table(table, f"{base}.parquet", "parquet")
-        write_table(table, f"{base}.csv", "csv")
-        paths.append(base)
+    for mode in modes:
+        for family in families:
+            table = one_table(cube, geo_key, family, mode)
+            base = f"{directory.rstrip('/')}/{mode.name}_{geo_key}_{family}_query"
+            write_table(table, f"{base}.parquet", "parquet")
+            write_table(table, f"{base}.csv", "csv")
+            paths.append(base)
     return paths

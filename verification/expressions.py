@@ -67,12 +67,9 @@ def raw_delimited_ingest(spark, d):
     k = F.col("s_suppkey")
     money = (
         F.when(k % 7 == 4, "-")
-        .when(k % 7 == 3, F.concat(F.lit("1,234,"), F.lpad((k % 1000).cast("string"), 3, "0")))
+        .when(k % 7 == 3, F.format_number((F.lit(1234000) + k).cast("double"), 0))
         .otherwise(F.floor("s_acctbal").cast("string"))
     )
-    money = F.when(
-        k % 7 == 3, F.format_number((F.lit(1234000) + k).cast("double"), 0)
-    ).otherwise(money)
     nation = F.when(k % 7 == 2, "n/a").otherwise(F.col("s_nationkey").cast("string"))
     line = F.when(k % 7 == 0, F.concat_ws("|", k.cast("string"), "s_name")).otherwise(
         F.concat_ws("|", k.cast("string"), F.col("s_name"), nation, money)
@@ -328,5 +325,4 @@ def rename_sanitise(spark, d):
         F.regexp_replace("p_brand", "[#]", "_").alias("Brand/Code"),
         F.col("p_size").alias("Size\tin%"),
     )
-    named = clean.sanitise_columns(part).withColumnRenamed("type_name__upper_", "type_name__upper_")
-    return clean.cast_columns(named, {"size_in_": "double"})
+    return clean.cast_columns(clean.sanitise_columns(part), {"size_in_": "double"})
