@@ -109,7 +109,7 @@ def weighted_qcut(
     q: int | Sequence[float] | None = None,
     per_group: int | None = None,
     into: str = "partition_index",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Bin each distinct value by its cumulative share of weight, right-closed, numbered from 0.
 

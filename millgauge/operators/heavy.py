@@ -53,13 +53,18 @@ def heavy_groups(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) ->
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
 
 
-def has_heavy(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
-    """Is there any group with more than ``hot_rows`` rows? Runs one job."""
+def has_heavy(df: DataFrame, by: Sequence[str], hot_rows: int | None = HOT_ROWS) -> bool:
+    """Is there any group with more than ``hot_rows`` rows? Runs one job.
+
+    ``None`` says the caller already knows that there is none (a coarser grouping had none).
+    """
+    if hot_rows is None:
+        return False
     return not heavy_groups(df, by, hot_rows).isEmpty()
 
 
 def split_heavy(
-    df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, by: Sequence[str], hot_rows: int | None = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame | None]:
     """``(light, heavy)``: rows of ordinary groups, and rows of heavy ones or None."""
     if not has_heavy(df, by, hot_rows):
@@ -138,7 +143,7 @@ class Running:
 
 
 def running_totals(
-    df: DataFrame, by: Sequence[str], specs: Sequence[Running], hot_rows: int = HOT_ROWS
+    df: DataFrame, by: Sequence[str], specs: Sequence[Running], hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Add one or more running totals within ``by``.
 

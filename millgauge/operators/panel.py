@@ -7,9 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from millgauge.operators.joins import equi_join
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def annualise(
@@ -80,37 +78,36 @@ def _fit_at(points: Column, x0: Column, y0: Column, span: float) -> Column:
 
 
 def loess(
-    df: DataFrame, by: Sequence[str], x: str, y: str, span: float = 0.75, into: str = "fitted"
+    df: DataFrame, by: Sequence[str], x: str, columns: Mapping[str, str], span: float = 0.75
 ) -> DataFrame:
-    """Fitted values of a local quadratic regression per group: ``(by, x, into)``.
+    """Add fitted values of a local quadratic regression per group, for one or more series.
 
-    Direct fit at every point: the ``floor(n * span)`` nearest points, tricube weights, weighted
-    least squares of degree two. Where fewer than three distinct points carry weight (or a group
-    has fewer than four points) the value passes through unchanged. Rows with a null ``y`` are
-    left out. The group is held as one array, so it must be a panel series, one row per period.
+    ``columns`` maps a value column to the column for its fit. Direct fit at every point: the
+    ``floor(n * span)`` nearest points, tricube weights, weighted least squares of degree two.
+    Where fewer than three distinct points carry weight (or a series has fewer than four points)
+    the value passes through unchanged. Null values take no part and get no fit. Each row holds
+    its group's series as an array, so the group must be a panel: one row per period.
     """
-    series = (
-        df.where(F.col(y).isNotNull())
-        .groupBy(*by)
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(x).alias("k")
-                    )
-                )
-            ).alias("_points")
+    group = W.partitionBy(*by)
+    points = {
+        f"_points_{y}": F.collect_list(
+            F.when(
+                F.col(y).isNotNull(),
+                F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")),
+            )
+        ).over(group)
+        for y in columns
+    }
+    fits = {
+        into: F.when(
+            F.col(y).isNotNull(),
+            _fit_at(
+                F.col(f"_points_{y}"), F.col(x).cast("double"), F.col(y).cast("double"), span
+            ),
         )
-    )
-    fitted = F.transform(
-        "_points",
-        lambda p: F.struct(
-            p["k"].alias("k"), _fit_at(F.col("_points"), p["x"], p["y"], span).alias("f")
-        ),
-    )
-    return series.select(*by, F.explode(fitted).alias("_p")).select(
-        *by, F.col("_p.k").alias(x), F.col("_p.f").alias(into)
-    )
+        for y, into in columns.items()
+    }
+    return df.withColumns(points).withColumns(fits).drop(*points)
 
 
 def coalesce_levels(df: DataFrame, levels: Sequence[str], into: str) -> DataFrame:
@@ -121,19 +118,15 @@ def coalesce_levels(df: DataFrame, levels: Sequence[str], into: str) -> DataFram
 def rebase(
     df: DataFrame, entity: str, year: str, value: str, bases: Sequence[int], template: str = "hpi_index_{year}"
 ) -> DataFrame:
-    """Multipliers to base years: ``base value / value``, null when either is missing.
-
-    The base values of all base years are picked in one aggregation and joined back.
-    """
-    picked = df.groupBy(entity).agg(
-        *[F.max(F.when(F.col(year) == b, F.col(value))).alias(f"_base_{b}") for b in bases]
-    )
-    return (
-        equi_join(df, picked, [entity], "left")
-        .withColumns(
-            {template.format(year=b): F.try_divide(F.col(f"_base_{b}"), F.col(value)) for b in bases}
-        )
-        .drop(*[f"_base_{b}" for b in bases])
+    """Multipliers to base years: ``base value / value``, null when either is missing."""
+    panel = W.partitionBy(entity)
+    return df.withColumns(
+        {
+            template.format(year=b): F.try_divide(
+                F.max(F.when(F.col(year) == b, F.col(value))).over(panel), F.col(value)
+            )
+            for b in bases
+        }
     )
 
 

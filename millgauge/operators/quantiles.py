@@ -128,7 +128,7 @@ def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
     probs: Mapping[str, Sequence[float]],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: one array column per measure in ``probs``.
 
@@ -150,7 +150,7 @@ def exact_quantiles(
 
 
 def exact_quantiles_sorted(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], hot_rows: int = HOT_ROWS
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """The same quantiles by sorting: value counts, running totals, two order statistics each."""
     ranked = (
@@ -191,7 +191,7 @@ def distribution(
     value: str,
     probs: Sequence[float] = (0.10, 0.25, 0.50, 0.75, 0.90),
     prefix: str = "tax_rate",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Median, mean, sd, chosen percentiles, interquartile range and coefficient of variation."""
     points = sorted({*probs, 0.25, 0.5, 0.75})
@@ -223,7 +223,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, by: Sequence[str], how: st
 
 
 def interquartile_range(
-    df: DataFrame, by: Sequence[str], value: str, into: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, by: Sequence[str], value: str, into: str, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """One row per group with its interquartile range."""
     q = exact_quantiles(df, by, {value: [0.25, 0.75]}, hot_rows)
@@ -235,7 +235,7 @@ def boxplot(
     by: Sequence[str],
     value: str,
     limits: tuple[float, float] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Box-plot numbers per group without outliers, in order of the box width.
 
@@ -289,7 +289,7 @@ def median_ci(
     value: str,
     conf: float = 0.90,
     prefix: str = "TaxRate_median",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Median with its exact two-sided confidence interval from order statistics.
 

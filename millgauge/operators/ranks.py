@@ -15,7 +15,7 @@ def recency_rank(
     date: str,
     tiebreak: str,
     into: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Unique rank per key, newest date = 1; a row without a date gets no rank.
 
@@ -59,7 +59,7 @@ def percentile_ranks(
     values: Mapping[str, str],
     by: Sequence[str],
     tiebreak: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Whole-number percentiles 1..100 within ``by``, 1 holding the highest values.
 
@@ -89,7 +89,7 @@ def percentile_rank(
     by: Sequence[str],
     tiebreak: str,
     into: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One percentile column; see :func:`percentile_ranks`."""
     return percentile_ranks(df, {into: value}, by, tiebreak, hot_rows)
@@ -102,7 +102,7 @@ def ntile(
     by: Sequence[str],
     tiebreak: str,
     into: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Tile number 1..tiles by ascending value; the first tiles take the remainder rows."""
     present = df.where(F.col(value).isNotNull())
@@ -119,7 +119,7 @@ def ntile(
 
 
 def global_rank(
-    df: DataFrame, value: str, tiebreak: str, into: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, value: str, tiebreak: str, into: str, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Row number over the whole table, highest value = 1; a null value gets no rank."""
     order = [F.col(value).isNull(), -F.col(value), F.col(tiebreak)]
@@ -130,7 +130,7 @@ def global_rank(
 
 
 def dense_rank_values(
-    df: DataFrame, value: str, into: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, value: str, into: str, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Dense rank (ascending) over the whole table of a group-level statistic.
 

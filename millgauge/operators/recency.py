@@ -16,7 +16,7 @@ def recency_ranks(
     tiebreak: str,
     by_period: str = "RecentSaleByYear",
     overall: str = "MostRecentSale",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Rank within ``(period, entity)`` and within ``entity``, newest = 1, null without a date.
 

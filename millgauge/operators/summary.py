@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from millgauge.functions.bins import quantile_of_percentile
-from millgauge.operators.heavy import HOT_ROWS, split_heavy
+from millgauge.operators.heavy import HOT_ROWS, has_heavy, split_heavy
 from millgauge.operators.quantiles import _heavy_quantiles, join_null_safe
 from millgauge.operators.ranks import percentile_rank
 
@@ -65,7 +65,7 @@ def summarise(
     id_col: str = "PropertyID",
     measures: Mapping[str, Sequence[str]] = MEASURES,
     counted: Sequence[str] = COUNTED,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Counts, distinct ids, sums, means, medians and standard deviations per group.
 
@@ -162,20 +162,22 @@ def summary_cube(
     modes: Sequence[Mode] = (SNAPSHOT, POOLED),
     id_col: str = "PropertyID",
     measures: Mapping[str, Sequence[str]] = MEASURES,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """All summary tables in one: keyed by ``mode``, ``bin_family``, geography, ``bin``, ``period``.
 
     ``quantile_bins`` maps a bin family to its number of groups; they are ranked by sale price
     within period and the first geography column, highest price first. Expanding each sale once
-    per bin family replaces one scan per table.
+    per bin family replaces one scan per table. Every summary group lies inside one (mode, period,
+    geography) group, so one look for heavy groups at that level serves the ranks and the summary.
     """
     groups = {"SaleAmt_Decile": 10, "SaleAmt_Quintile": 5} if quantile_bins is None else quantile_bins
     rows = mode_rows(tiles, geo, static_bins, modes, id_col, measures)
+    market = ["mode", "period", geo[0]]
+    if not has_heavy(rows, market, hot_rows):
+        hot_rows = None
     if groups:
-        rows = percentile_rank(
-            rows, "SaleAmt", ["mode", "period", geo[0]], id_col, "_percentile", hot_rows
-        )
+        rows = percentile_rank(rows, "SaleAmt", market, id_col, "_percentile", hot_rows)
     families = [(b, F.col(b), F.col("TaxRate")) for b in static_bins] + [
         (name, quantile_of_percentile(F.col("_percentile"), k).cast("string"), F.col("TaxRate_nominal"))
         for name, k in groups.items()
@@ -211,7 +213,7 @@ def summary(
     mode: Mode = SNAPSHOT,
     id_col: str = "PropertyID",
     measures: Mapping[str, Sequence[str]] = MEASURES,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One summary table, for one time mode and one bin column present in ``tiles``."""
     cube = summary_cube(tiles, geo, [bin_column], {}, [mode], id_col, measures, hot_rows)

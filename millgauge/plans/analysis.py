@@ -64,7 +64,7 @@ def with_city_spread(
     sales: DataFrame,
     thresholds: Sequence[int] = (18, 36, 54),
     tiebreak: str = "PropertyID",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """City interquartile range, its rank and quartile, and the sale quintile (1 = lowest price)."""
     spread = interquartile_range(sales, ["city_state"], "TaxRate", "IQR_city", hot_rows)
@@ -74,7 +74,7 @@ def with_city_spread(
     return ntile(joined, "SaleAmt", 5, ["city_state"], tiebreak, "sale_quintile", hot_rows)
 
 
-def distribution_table(sales: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def distribution_table(sales: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Rate distribution per city."""
     return distribution(
         sales, ["city_geoid", "city_name", "city_state"], "TaxRate", hot_rows=hot_rows
@@ -82,7 +82,7 @@ def distribution_table(sales: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def boxplot_table(
-    sales: DataFrame, limits: tuple[float, float] = (0.0, 0.08), hot_rows: int = HOT_ROWS
+    sales: DataFrame, limits: tuple[float, float] = (0.0, 0.08), hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Box-plot numbers per city on a fixed axis, narrowest city first."""
     return boxplot(sales, ["city_state"], "TaxRate", limits, hot_rows)
@@ -105,7 +105,7 @@ def distinct_rates(benchmark: DataFrame) -> DataFrame:
 
 
 def rate_medians(
-    sales: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS
+    sales: DataFrame, by: Sequence[str], hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Median rate and sale count per group."""
     medians = exact_quantiles(sales, by, {"TaxRate": [0.5]}, hot_rows).select(
@@ -120,7 +120,7 @@ def statutory_effective_table(
     benchmark: DataFrame,
     totals: DataFrame,
     bands: Sequence[str] = ("2 - $120K-$180K", "4 - $270K-$330K"),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Effective medians (overall and in two price bands) beside the statutory rates.
 
@@ -224,7 +224,7 @@ def quintile_chart_rows(rows: DataFrame, gaps: DataFrame, benchmark: DataFrame)
 
 
 def interval_table(
-    sales: DataFrame, benchmark: DataFrame, conf: float = 0.90, hot_rows: int = HOT_ROWS
+    sales: DataFrame, benchmark: DataFrame, conf: float = 0.90, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Median confidence interval per city and whether the statutory rate lies inside."""
     ci = median_ci(sales, [*CITY, "SaleRecordingYear"], "TaxRate", conf, hot_rows=hot_rows)

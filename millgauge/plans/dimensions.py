@@ -11,7 +11,7 @@ from millgauge.operators.heavy import HOT_ROWS
 from millgauge.operators.joins import equi_join
 from millgauge.operators.panel import annualise, coalesce_levels, loess, rebase
 from millgauge.operators.ranks import fill_down_up, global_rank
-from millgauge.operators.reshape import complete, pivot_single, to_long, union_all
+from millgauge.operators.reshape import complete, union_all
 
 # Area-type labels, territories left out, the place summary level, the name cut.
 AREA_TYPES = {
@@ -68,7 +68,8 @@ def index_levels(
     """County-year grid with the county, metro, non-metro and state index side by side.
 
     The last year is added for every county, so the grid reaches it even if the county file does
-    not. Quarterly sources are averaged per year.
+    not. Quarterly sources are averaged per year. The county-year grid is completed once: the left
+    joins after it keep its rows, and a county's state and metro area do not vary.
     """
     listed = counties.where(~F.col("state_fips").isin(*TERRITORIES))
     county = hpi_county.select(
@@ -113,29 +114,18 @@ def index_levels(
 
     joined = equi_join(grid, state, ["state_fips", "year"], "left", null_safe=True)
     joined = equi_join(joined, nonmetro, ["state_fips", "year"], "left", null_safe=True)
-    joined = equi_join(joined, metro, ["cbsa_fips", "year"], "left", null_safe=True)
-    return complete(joined, ["county_fips", "state_fips", "cbsa_fips"], "year")
+    return equi_join(joined, metro, ["cbsa_fips", "year"], "left", null_safe=True)
 
 
 def smooth_levels(levels: DataFrame, span: float = 0.75) -> DataFrame:
     """Missing cells of each level from a local regression over its filled series."""
-    ids = ["county_fips", "year"]
     filled = fill_down_up(
         levels, ["county_fips", "state_fips", "cbsa_fips"], "year", {c: f"{c}_fill" for c in LEVELS}
     )
-    long = to_long(
-        filled.select(*ids, *[f"{c}_fill" for c in LEVELS]),
-        ids,
-        [f"{c}_fill" for c in LEVELS],
-        "type",
-        "hpi",
-    ).where(F.col("hpi").isNotNull())
-    fitted = loess(long, ["type", "county_fips"], "year", "hpi", span, "hpi_impute")
-    wide = pivot_single(
-        fitted, ids, "type", "hpi_impute", [f"{c}_fill" for c in LEVELS], "{category}_{value}"
+    fitted = loess(
+        filled, ["county_fips"], "year", {f"{c}_fill": f"{c}_fill_hpi_impute" for c in LEVELS}, span
     )
-    joined = equi_join(levels, wide, ids, "left")
-    return joined.select(
+    return fitted.select(
         "year",
         "county_fips",
         "state_fips",
@@ -153,7 +143,7 @@ def county_index(
     return rebased.select("county_fips", "year", *[f"hpi_index_{b}" for b in bases])
 
 
-def place_population(estimates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def place_population(estimates: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """City populations with a national rank, from the population-estimates file."""
     lower = clean.sanitise_columns(estimates)
     cities = lower.where(F.col("sumlev").cast("string") == PLACE_LEVEL).select(

@@ -185,7 +185,7 @@ def flag_sales(deeds: DataFrame) -> DataFrame:
     )
 
 
-def rank_sales(deeds: DataFrame, min_year: int = MIN_YEAR, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rank_sales(deeds: DataFrame, min_year: int = MIN_YEAR, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The newest deed per property and year, if it is a qualifying sale.
 
     Ranks run over all deeds, so a newer non-qualifying deed hides an older sale. Ties on the
@@ -215,7 +215,7 @@ def geocode(
     counties: DataFrame,
     layers: Sequence[Layer],
     geohash_precision: int = 18,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Crosswalk: coordinates with fallbacks, county attributes, polygon layers, geohash.
 
@@ -376,7 +376,7 @@ def tile_sales(
     within: Sequence[str] = ("SaleRecordingYear", "FIPS"),
     split_year: int = MIN_YEAR,
     tiebreak: str = "FATransactionID",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Rates, county-year percentiles of price and rate, and all labels."""
     rated = add_rates(staging)
@@ -402,7 +402,7 @@ class Inputs:
     geo: Sequence[str] = CITY_COLUMNS
     modes: Sequence[Mode] = field(default_factory=lambda: (SNAPSHOT, POOLED))
     min_year: int = MIN_YEAR
-    hot_rows: int = HOT_ROWS
+    hot_rows: int | None = HOT_ROWS
 
 
 def run(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:

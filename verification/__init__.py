@@ -1,5 +1,5 @@
 """Queries over the test tables, each with a SQL twin, one module per operator family."""
 
-from verification import expressions, panels, ranking, relations, spatial, statistics
+from verification import expressions, panels, pipeline, ranking, relations, spatial, statistics
 
-CASE_MODULES = (expressions, relations, ranking, statistics, panels, spatial)
+CASE_MODULES = (expressions, relations, ranking, statistics, panels, spatial, pipeline)

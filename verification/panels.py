@@ -66,7 +66,10 @@ def loess_panel(spark, d):
         (F.col("year") * 4 + F.col("quarter")).alias("t"),
         F.when(~hidden, F.col("hpi")).alias("hpi"),
     )
-    return loess(series, ["nation"], "t", "hpi").withColumn("fitted", F.round("fitted", 7))
+    fitted = loess(series, ["nation"], "t", {"hpi": "fitted"})
+    return fitted.where(F.col("hpi").isNotNull()).select(
+        "nation", "t", F.round("fitted", 7).alias("fitted")
+    )
 
 
 @case(

@@ -14,6 +14,7 @@ Coordinates are multiples of 1/64, so both engines compute them exactly and boun
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from millgauge.operators.joins import equi_join
 from millgauge.operators.panel import annualise, rebase
 from millgauge.plans import etl
+from millgauge.sources.staged import materialize
 
 MIN_YEAR = 1996
 BASE_YEAR = 1998
@@ -33,14 +35,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's checkpoint folder; a local one only for local runs."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a local one only for local runs that set none."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         shared = os.path.join(tempfile.gettempdir(), "millgauge")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """A pipeline stage, written once per application and input folder, as the pipeline does."""
+    inputs = hashlib.md5(d.encode()).hexdigest()[:12]
+    app = spark.sparkContext.applicationId
+    return materialize(spark, build, f"{shared_folder(spark)}/{app}/{inputs}/{name}")
 
 
 def cents(c: Column) -> Column:
@@ -255,7 +269,11 @@ def staging(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tiles(spark: SparkSession, d: str) -> DataFrame:
-    return etl.tile_sales(staging(spark, d), split_year=1999)
+    def build() -> DataFrame:
+        sales = staged(spark, d, "sales_staging", lambda: staging(spark, d))
+        return etl.tile_sales(sales, split_year=1999)
+
+    return staged(spark, d, "sales_staging_tiles", build)
 
 
 STAGING = f"""staging AS (
