@@ -155,7 +155,8 @@ def running_totals(
         names.append([f"_o{i}_{j}" for j in range(len(spec.order))])
         weight = {} if spec.weight is None else {f"_w{i}": spec.weight}
         keyed = keyed.withColumns({**dict(zip(names[i], spec.order)), **weight})
-    helpers = [c for c in keyed.columns if c not in df.columns]
+    results = [s.into for s in specs] + [s.total for s in specs if s.total]
+    columns = [*[c for c in df.columns if c not in results], *results]
 
     def running(i: int, part) -> Column:
         if specs[i].weight is None:
@@ -170,7 +171,7 @@ def running_totals(
         part = W.partitionBy(*by)
         added = {s.into: running(i, part) for i, s in enumerate(specs)}
         added |= {s.total: whole(i).over(part) for i, s in enumerate(specs) if s.total}
-        return keyed.withColumns(added).drop(*helpers)
+        return keyed.withColumns(added).select(*columns)
 
     out, before = keyed, []
     for i in range(len(specs)):
@@ -209,4 +210,4 @@ def running_totals(
         out = out.withColumns(final).drop(
             f"_slice{i}", f"_local{i}", f"_whole{i}", f"_before{i}", f"_all{i}"
         )
-    return out.drop(*helpers)
+    return out.select(*columns)
