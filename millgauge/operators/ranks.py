@@ -58,20 +58,19 @@ def percentile_ranks(
     df: DataFrame,
     values: Mapping[str, str],
     by: Sequence[str],
-    tiebreak: str,
+    tiebreak: str | Sequence[str],
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Whole-number percentiles 1..100 within ``by``, 1 holding the highest values.
 
     ``values`` maps output to value columns. ``ceil(rank / count * 100)`` in double arithmetic,
     with the division first: ``7 / 100 * 100`` is slightly above 7 and gives 8, as in the published
-    numbers. Null values get no percentile.
+    numbers. Null values get no percentile. ``tiebreak`` should tell all rows of equal value apart.
     """
+    ties = [F.col(c) for c in ([tiebreak] if isinstance(tiebreak, str) else tiebreak)]
     specs = [
         Running(
-            f"_rank_{into}",
-            [F.col(v).isNull(), -F.col(v), F.col(tiebreak)],
-            total=f"_size_{into}",
+            f"_rank_{into}", [F.col(v).isNull(), -F.col(v), *ties], total=f"_size_{into}"
         )
         for into, v in values.items()
     ]
@@ -87,7 +86,7 @@ def percentile_rank(
     df: DataFrame,
     value: str,
     by: Sequence[str],
-    tiebreak: str,
+    tiebreak: str | Sequence[str],
     into: str,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:

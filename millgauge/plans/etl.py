@@ -375,10 +375,13 @@ def tile_sales(
     staging: DataFrame,
     within: Sequence[str] = ("SaleRecordingYear", "FIPS"),
     split_year: int = MIN_YEAR,
-    tiebreak: str = "FATransactionID",
+    tiebreak: str | Sequence[str] = "FATransactionID",
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Rates, county-year percentiles of price and rate, and all labels."""
+    """Rates, county-year percentiles of price and rate, and all labels.
+
+    Where overlapping polygons repeat a sale, add their keys to ``tiebreak``.
+    """
     rated = add_rates(staging)
     percentiles = {"SaleAmt_County_Percentile": "SaleAmt", "TaxRate_County_Percentile": "TaxRate"}
     ranked = percentile_ranks(rated, percentiles, within, tiebreak, hot_rows)
@@ -437,7 +440,12 @@ def run(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
     )
     tiles = keep(
         "sales_staging_tiles",
-        lambda: tile_sales(staging, split_year=inputs.min_year, hot_rows=inputs.hot_rows),
+        lambda: tile_sales(
+            staging,
+            split_year=inputs.min_year,
+            tiebreak=["FATransactionID", *[layer.key for layer in inputs.layers]],
+            hot_rows=inputs.hot_rows,
+        ),
     )
     if not staged.is_complete(spark, at("summary")):
         export.export_cube(

@@ -46,7 +46,8 @@ def _read(spark, path, schema, separator, header, report_bad) -> DataFrame:
     reader = spark.read.option("sep", separator).option("header", header).option("mode", "PERMISSIVE")
     if report_bad:
         schema = T.StructType([*schema.fields, T.StructField(BAD_RECORD, T.StringType())])
-        reader = reader.option("columnNameOfCorruptRecord", BAD_RECORD)
+        # unread columns must still be parsed for a short or long row to be noticed
+        reader = reader.option("columnNameOfCorruptRecord", BAD_RECORD).option("columnPruning", False)
     return reader.schema(schema).csv(path)
 
 
