@@ -11,6 +11,7 @@ from millgauge.functions.bins import quantile_of_percentile
 from millgauge.operators.heavy import HOT_ROWS, has_heavy, split_heavy
 from millgauge.operators.quantiles import _heavy_quantiles, join_null_safe
 from millgauge.operators.ranks import percentile_rank
+from millgauge.sources.staged import cut_lineage
 
 # Which statistics the published tables carry per measure.
 ALL = ("sum", "mean", "median", "std")
@@ -170,14 +171,18 @@ def summary_cube(
     within period and the first geography column, highest price first. Expanding each sale once
     per bin family replaces one scan per table. Every summary group lies inside one (mode, period,
     geography) group, so one look for heavy groups at that level serves the ranks and the summary.
+    With heavy groups the ranked rows are staged, because the summary then passes over them often.
     """
     groups = {"SaleAmt_Decile": 10, "SaleAmt_Quintile": 5} if quantile_bins is None else quantile_bins
     rows = mode_rows(tiles, geo, static_bins, modes, id_col, measures)
     market = ["mode", "period", geo[0]]
-    if not has_heavy(rows, market, hot_rows):
+    heavy = has_heavy(rows, market, hot_rows)
+    if not heavy:
         hot_rows = None
     if groups:
         rows = percentile_rank(rows, "SaleAmt", market, id_col, "_percentile", hot_rows)
+    if heavy:
+        rows = cut_lineage(rows, "cube_rows")
     families = [(b, F.col(b), F.col("TaxRate")) for b in static_bins] + [
         (name, quantile_of_percentile(F.col("_percentile"), k).cast("string"), F.col("TaxRate_nominal"))
         for name, k in groups.items()

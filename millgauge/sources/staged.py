@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,6 +15,36 @@ from millgauge.operators.joins import in_values_of
 LITERAL_LIST_LIMIT = 1_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``, seen by all executors.
+
+    Only a local session that names none gets a folder of its own.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        shared = os.path.join(tempfile.gettempdir(), "millgauge")
+    return shared.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under this application's part of the shared folder."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write the rows to the shared folder and read them back.
+
+    For a table that several later passes read: they scan files with only their own columns, and a
+    lost executor re-reads files instead of recomputing what came before.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Does the path exist on whatever file system it names?"""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millgauge.operators.summary import MEASURES, POOLED, SNAPSHOT, summarise, summary, summary_cube
 from millgauge.plans import etl
+from millgauge.sources.staged import cut_lineage
 
 COLUMNS = (
     "PropertyID long, FATransactionID string, SaleRecordingYear int, FIPS string, city_geoid string, SaleAmt double, TaxAmt double,"
@@ -47,9 +48,7 @@ def test_zero_denominators_become_null_and_do_not_poison_means(frame):
 
 @pytest.mark.parametrize("hot_rows", [1000, 10])
 def test_cube_counts_add_up(frame, hot_rows):
-    tiles = etl.tile_sales(
-        staging(frame), hot_rows=hot_rows
-    )
+    tiles = cut_lineage(etl.tile_sales(staging(frame), hot_rows=hot_rows))
     cube = summary_cube(tiles, ["city_geoid"], ["Total", "SaleBins"], {"SaleAmt_Quintile": 5}, hot_rows=hot_rows)
     rows = cube.collect()
     kept = tiles.where("TaxRate_Outliers = 'Middle 96%'").collect()

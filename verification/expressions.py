@@ -5,8 +5,9 @@ from pyspark.sql import functions as F, types as T
 from millgauge.functions import bins, clean
 from millgauge.operators.reshape import with_category_order
 from millgauge.sources.delimited import read_delimited
+from millgauge.sources.staged import scratch
 from verification.registry import case
-from verification.standins import ELEVEN_SQL, NARROW_SQL, WIDE_SQL, scratch, table
+from verification.standins import ELEVEN_SQL, NARROW_SQL, WIDE_SQL, spread, table
 
 
 @case(
@@ -108,7 +109,17 @@ def raw_delimited_ingest(spark, d):
     FROM raw""",
 )
 def clean_codes_flags(spark, d):
-    raw = table(spark, d, "lineitem")
+    lines = table(spark, d, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_returnflag",
+        "l_linestatus",
+        "l_quantity",
+        "l_suppkey",
+        "l_partkey",
+        "l_shipdate",
+    )
+    raw = spread(lines)
     day = F.date_format("l_shipdate", "yyyyMMdd")
     part = F.col("l_partkey") % 5
     raw = raw.select(

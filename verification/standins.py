@@ -15,16 +15,13 @@ Coordinates are multiples of 1/64, so both engines compute them exactly and boun
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millgauge.operators.joins import equi_join
 from millgauge.operators.panel import annualise, rebase
 from millgauge.plans import etl
-from millgauge.sources.staged import materialize
+from millgauge.sources.staged import materialize, shared_folder
 
 MIN_YEAR = 1996
 BASE_YEAR = 1998
@@ -35,19 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only for local runs that set none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        shared = os.path.join(tempfile.gettempdir(), "millgauge")
-    return shared.rstrip("/")
+def spread(df: DataFrame) -> DataFrame:
+    """Share the rows of a table of very few files among the cores; many files stay as they are.
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    For work that costs much per row: a single small file would otherwise be one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) * 4 < cores else df
 
 
 def staged(spark: SparkSession, d: str, name: str, build) -> DataFrame:
@@ -353,7 +344,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     """Orders at grid coordinates; one in 19 has none."""
     k = F.col("o_orderkey")
     located = k % 19 != 0
-    return table(spark, d, "orders").select(
+    return spread(table(spark, d, "orders").select("o_orderkey")).select(
         k.alias("point_id"),
         F.when(located, F.lit(-90.0) + (k * 37 % 997) / 64.0).alias("lon"),
         F.when(located, F.lit(30.0) + (k * 53 % 691) / 64.0).alias("lat"),
