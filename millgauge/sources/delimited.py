@@ -24,7 +24,8 @@ def read_delimited(
 
     A cell that does not parse becomes null, surplus fields are dropped, short rows are padded with
     nulls. ``report_bad`` adds the original line of every such row in ``_corrupt_record``. With a
-    header, columns are matched by name, so the file may hold more columns, in any order.
+    header, columns are matched by name, so the files may hold more columns, in any order; a file
+    whose header differs from the first one's is refused rather than misread.
     """
     if not header:
         return _read(spark, path, schema, separator, False, report_bad)
@@ -43,7 +44,12 @@ def read_delimited(
 
 
 def _read(spark, path, schema, separator, header, report_bad) -> DataFrame:
-    reader = spark.read.option("sep", separator).option("header", header).option("mode", "PERMISSIVE")
+    reader = (
+        spark.read.option("sep", separator)
+        .option("header", header)
+        .option("enforceSchema", not header)
+        .option("mode", "PERMISSIVE")
+    )
     if report_bad:
         schema = T.StructType([*schema.fields, T.StructField(BAD_RECORD, T.StringType())])
         # unread columns must still be parsed for a short or long row to be noticed

@@ -37,6 +37,13 @@ def test_columns_are_matched_by_name(spark, tmp_path):
     assert tuple(row) == (7, None, 1.5)
 
 
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("id|name|price\n1|a|1.5\n")
+    (tmp_path / "b.txt").write_text("name|id|price\na|1|1.5\n")
+    with pytest.raises(Exception, match="CSV header|does not conform"):
+        delimited.read_delimited(spark, str(tmp_path), SCHEMA).collect()
+
+
 def test_headerless_and_inferred(spark, tmp_path):
     path = tmp_path / "raw.csv"
     path.write_text("1,a,1.5\n")

@@ -14,20 +14,23 @@ from millgauge.operators.summary import (
     summary,
     summary_cube,
 )
-from millgauge.plans import analysis, etl, report
+from millgauge.plans import analysis, etl, report, variants
 from verification.registry import case
 from verification.standins import (
     CITIES,
     DEEDS,
     GEO,
+    INDEX,
     MIN_YEAR,
     PLACES,
+    QUARTERLY,
     RANKED,
     RATES,
     ROLL,
     TO_STAGING,
     TO_TILES,
     deeds,
+    index,
     places,
     rates,
     roll,
@@ -282,6 +285,66 @@ def summary_single(spark, d):
     )
 
 
+@case(
+    "sale_year_counts",
+    f"""WITH {DEEDS}, {RANKED} SELECT "PropertyID", count(*) AS "SaleYearCount" FROM ranked GROUP BY 1""",
+)
+def sale_year_counts(spark, d):
+    return variants.sale_year_counts(etl.rank_sales(deeds(spark, d), MIN_YEAR), MIN_YEAR)
+
+
+@case(
+    "value_series",
+    f"""WITH {ROLL} SELECT "PropertyID", "TaxYear", "MarketTotalValue" AS market_value FROM roll
+    WHERE "MarketTotalValue" > 0 AND "TaxYear" >= 1998""",
+)
+def value_series(spark, d):
+    named = {"MarketTotalValue": "market_value"}
+    return variants.value_series(roll(spark, d), "TaxYear", named, "MarketTotalValue", 1998)
+
+
+@case(
+    "sales_with_series",
+    f"""WITH {DEEDS}, {RANKED}, {ROLL}, {CITIES}, {PLACES}, {QUARTERLY}, {INDEX},
+    newest AS (SELECT * FROM roll WHERE "TaxYear" = 2000 AND "TaxAmt" > 0)
+    SELECT r."PropertyID", r."FATransactionID", r."SaleAmt", n."TaxAmt" AS "TaxAmt_Current", s."TaxAmt" AS tax_of_sale_year,
+      city_geoid, round(h.hpi_index_2021, 7) AS hpi_index_2021
+    FROM ranked r JOIN newest n ON n."PropertyID" = r."PropertyID"
+    LEFT JOIN roll s ON s."PropertyID" = r."PropertyID" AND s."TaxYear" = r."SaleRecordingYear" AND s."TaxAmt" > 0
+    LEFT JOIN places p ON p."PropertyID" = r."PropertyID"
+    LEFT JOIN hpi h ON h.county_fips = n."FIPS" AND h."year" = r."SaleRecordingYear" """,
+)
+def sales_with_series(spark, d):
+    rows = roll(spark, d)
+    series = variants.value_series(rows, "TaxYear", {"TaxAmt": "tax_of_sale_year"}, "TaxAmt")
+    out = variants.sales_with_series(
+        etl.rank_sales(deeds(spark, d), MIN_YEAR),
+        rows.where(F.col("TaxYear") == 2000),
+        series,
+        places(spark, d),
+        index(spark, d),
+    )
+    return out.select(
+        "PropertyID",
+        "FATransactionID",
+        "SaleAmt",
+        "TaxAmt_Current",
+        "tax_of_sale_year",
+        "city_geoid",
+        F.round("hpi_index_2021", 7).alias("hpi_index_2021"),
+    )
+
+
+@case(
+    "county_quantiles",
+    f"""WITH {TO_TILES} SELECT "FATransactionID", CAST(ceil("SaleAmt_County_Percentile" / 10.0) AS INTEGER) AS "SaleAmt_County_Decile",
+      CAST(ceil("TaxRate_County_Percentile" / 20.0) AS INTEGER) AS "TaxRate_County_Quintile" FROM tiles""",
+)
+def county_quantiles(spark, d):
+    out = variants.county_quantiles(tiles(spark, d))
+    return out.select("FATransactionID", "SaleAmt_County_Decile", "TaxRate_County_Quintile")
+
+
 # --- city analysis -------------------------------------------------------------------------------
 
 BUSY = f"""{TO_TILES}, {RATES}, busy AS (
@@ -334,6 +397,21 @@ def city_distribution(spark, d):
     return out.select(*keys, *[F.round(c, 9).alias(c) for c in out.columns if c not in keys])
 
 
+@case(
+    "city_boxplot",
+    f"""WITH {BUSY}, shown AS (SELECT * FROM micro WHERE "TaxRate" BETWEEN 0 AND 0.08),
+    boxes AS (SELECT city_state, quantile_cont("TaxRate", 0.25) AS q1, median("TaxRate") AS m, quantile_cont("TaxRate", 0.75) AS q3 FROM shown GROUP BY 1),
+    spread AS (SELECT city_state, quantile_cont("TaxRate", 0.75) - quantile_cont("TaxRate", 0.25) AS iqr FROM micro GROUP BY 1)
+    SELECT city_state, round(q1, 9) AS q1, round(m, 9) AS median, round(q3, 9) AS q3, round(min("TaxRate"), 9) AS whisker_low,
+      round(max("TaxRate"), 9) AS whisker_high, round(iqr, 9) AS order_iqr
+    FROM shown JOIN boxes USING (city_state) JOIN spread USING (city_state)
+    WHERE "TaxRate" >= q1 - 1.5 * (q3 - q1) AND "TaxRate" <= q3 + 1.5 * (q3 - q1) GROUP BY city_state, q1, m, q3, iqr""",
+)
+def city_boxplot(spark, d):
+    out = analysis.boxplot_table(micro(spark, d))
+    return out.select("city_state", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
+
+
 @case(
     "statutory_effective_table",
     f"""WITH {BUSY}, totals AS ({finish(cube_part(SNAPSHOT, "Total", None))}),
