@@ -12,7 +12,7 @@ rather than a long chain of joins (the pipeline does).
 
 Broadcast bound: a table of N rows has at most ``N / hot_rows`` groups with more than
 ``hot_rows`` rows, and at most that many slices, whatever the key distribution. With the
-default of two million rows this is 500,000 rows for a table of 10^12 rows. Only tables
+default of one million rows this is a million rows for a table of 10^12 rows. Only tables
 with this bound carry a broadcast hint in this package.
 """
 
@@ -23,8 +23,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-HOT_ROWS = 2_000_000
-MAX_SLICES = 4096  # per group; slices grow past hot_rows only beyond 8 * 10^9 rows in one group
+HOT_ROWS = 1_000_000
+MAX_SLICES = 4096  # per group; slices grow past hot_rows only beyond 4 * 10^9 rows in one group
 SAMPLES_PER_SLICE = 16
 
 

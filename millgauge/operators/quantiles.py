@@ -294,7 +294,9 @@ def median_ci(
     """Median with its exact two-sided confidence interval from order statistics.
 
     Bounds are the k-th smallest and k-th largest value with k the binomial quantile at
-    ``(1 - conf) / 2``; both are null when the group is too small for a bound (k = 0).
+    ``(1 - conf) / 2``; both are null when the group is too small for a bound (k = 0). The table from
+    group size to k is broadcast: groups of different sizes in a table of N rows number at most
+    ``sqrt(2 N)``, 1.4 million for 10^12 rows.
     """
 
     @F.pandas_udf("long")
@@ -311,7 +313,7 @@ def median_ci(
     ranked = running_totals(counts, by, [spec], hot_rows)
     sizes = counts.groupBy(*by).agg(F.sum("_rows").alias("_size"))
     ks = sizes.select("_size").distinct().withColumn("_k", rank_for("_size"))
-    ranked = ranked.join(ks.withColumnRenamed("_size", "_n"), "_n", "left")
+    ranked = attach(ranked, ks.withColumnRenamed("_size", "_n"), ["_n"])
 
     def at(rank: Column) -> Column:
         hit = (rank > F.col("_end") - F.col("_rows")) & (rank <= F.col("_end"))

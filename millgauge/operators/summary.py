@@ -70,25 +70,27 @@ def summarise(
 ) -> DataFrame:
     """Counts, distinct ids, sums, means, medians and standard deviations per group.
 
-    Everything but the medians and the distinct count merges map-side. Medians of ordinary groups
-    ride in the same aggregation; those of heavy groups are found by bracketing. Distinct ids are
-    counted on their own, spread over ``(by, id)``, so the wide aggregation is not repeated per id.
+    Ordinary groups, of at most ``hot_rows`` rows, take one aggregation: their value maps and id sets
+    are bounded by the group size. In heavy groups the sums merge map-side, the medians are found by
+    bracketing, and the distinct ids are counted spread over ``(by, id)``.
     """
     medians = [m for m, stats in measures.items() if "median" in stats]
-    ids = df.groupBy(*by).agg(F.count_distinct(F.col(id_col)).alias(f"{id_col}_nunique"))
-    light, heavy = split_heavy(df.select(*by, *measures), by, hot_rows)
+    unique = f"{id_col}_nunique"
+    light, heavy = split_heavy(df.select(id_col, *by, *measures), by, hot_rows)
     plain = light.groupBy(*by).agg(
-        *_mergeable(measures, counted), *[F.median(m).alias(f"{m}_median") for m in medians]
+        *_mergeable(measures, counted),
+        F.size(F.collect_set(id_col)).cast("long").alias(unique),
+        *[F.median(m).alias(f"{m}_median") for m in medians],
     )
     if heavy is None:
-        return join_null_safe(plain, ids, by)
+        return plain
     heavy_medians = _heavy_quantiles(heavy, by, {m: [0.5] for m in medians}).select(
         *by, *[F.col(m)[0].alias(f"{m}_median") for m in medians]
     )
-    large = join_null_safe(
-        heavy.groupBy(*by).agg(*_mergeable(measures, counted)), heavy_medians, by
-    )
-    return join_null_safe(plain.unionByName(large), ids, by)
+    ids = heavy.groupBy(*by).agg(F.count_distinct(F.col(id_col)).alias(unique))
+    large = heavy.groupBy(*by).agg(*_mergeable(measures, counted))
+    large = join_null_safe(join_null_safe(large, heavy_medians, by), ids, by)
+    return plain.unionByName(large)
 
 
 def with_ratios(df: DataFrame) -> DataFrame:

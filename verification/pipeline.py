@@ -15,7 +15,7 @@ from millgauge.operators.summary import (
     summary_cube,
 )
 from millgauge.plans import analysis, etl, report, variants
-from verification.registry import case
+from verification.registry import case, steady, steady_sql
 from verification.standins import (
     CITIES,
     DEEDS,
@@ -57,13 +57,17 @@ def stat_columns(measures=MEASURES):
 def round_stats(df):
     return df.withColumns(
         {
-            **{n: F.round(n, digits(m, s)) for n, m, s in stat_columns() if n in df.columns},
+            **{n: steady(n, digits(m, s)) for n, m, s in stat_columns() if n in df.columns},
             **{c: F.round(c, 9) for c in RATES_LIKE if c in df.columns},
             **{c: F.round(c, 3) for c in ("SaleAmt_Total", "SaleAmt_GeoTotal") if c in df.columns},
         }
     )
 
 
+def quoted(name: str) -> str:
+    return f'"{name}"'
+
+
 def measure_list(mode, quantile: bool) -> str:
     """The 25 measures of one summary table in SQL."""
     adjust = "_HPI2021" if mode.name == "Pooled" else ""
@@ -102,7 +106,7 @@ def cube_part(mode, family: str, groups: int | None, geo=GEO) -> str:
 def finish(parts: str) -> str:
     """Ratios, totals and rounding of a cube in SQL."""
     keep = ['"mode"', "bin_family", *GEO, "bin", "period", '"count"', '"PropertyID_nunique"', '"TaxAmt_notnull"', '"SaleAmt_notnull"']
-    stats = [f'round("{n}", {digits(m, s)}) AS "{n}"' for n, m, s in stat_columns()]
+    stats = [f'{steady_sql(quoted(n), digits(m, s))} AS "{n}"' for n, m, s in stat_columns()]
     extra = [
         'round("TaxAmt_sum" / nullif("SaleAmt_sum", 0), 9) AS "TaxRate"',
         'round("AssdTotalValue_HPI2021_Imputed_sum" / nullif("SaleAmt_sum", 0), 9) AS "AssdValue_SaleAmt_Ratio"',
@@ -114,6 +118,13 @@ def finish(parts: str) -> str:
     return f"SELECT {', '.join([*keep, *stats, *extra])} FROM ({parts})"
 
 
+CITY_STATS = ", ".join(
+    f'{steady_sql(f"{SQL_STAT[s]}({quoted(m)})", digits(m, s))} AS "{m}_{s}"'
+    for m in ("TaxAmt", "TaxRate", "SaleAmt")
+    for s in MEASURES[m]
+)
+
+
 @case(
     "city_year_summary",
     f"""WITH {DEEDS}, {RANKED}, {ROLL}, {CITIES}, {PLACES}, joined AS (
@@ -125,10 +136,7 @@ def finish(parts: str) -> str:
       / count(*) OVER (PARTITION BY "SaleRecordingYear", "FIPS") * 100) AS pct FROM joined)
     SELECT city_geoid, city_name, CAST("SaleRecordingYear" AS INTEGER) AS sale_year, count(*) AS "count",
       count(DISTINCT "PropertyID") AS "PropertyID_nunique", count("TaxAmt") AS "TaxAmt_notnull", count("SaleAmt") AS "SaleAmt_notnull",
-      round(sum("TaxAmt"), 3) AS "TaxAmt_sum", round(avg("TaxAmt"), 5) AS "TaxAmt_mean", round(median("TaxAmt"), 5) AS "TaxAmt_median",
-      round(stddev_samp("TaxAmt"), 5) AS "TaxAmt_std", round(avg("TaxRate"), 9) AS "TaxRate_mean", round(median("TaxRate"), 9) AS "TaxRate_median",
-      round(stddev_samp("TaxRate"), 9) AS "TaxRate_std", round(sum("SaleAmt"), 3) AS "SaleAmt_sum", round(avg("SaleAmt"), 5) AS "SaleAmt_mean",
-      round(median("SaleAmt"), 5) AS "SaleAmt_median", round(stddev_samp("SaleAmt"), 5) AS "SaleAmt_std",
+      {CITY_STATS},
       round(sum("TaxAmt") / sum("SaleAmt"), 9) AS effective_rate
     FROM pct WHERE NOT (pct <= 2 OR pct >= 99) GROUP BY 1, 2, 3""",
 )
@@ -414,7 +422,7 @@ def city_boxplot(spark, d):
 
 @case(
     "statutory_effective_table",
-    f"""WITH {BUSY}, totals AS ({finish(cube_part(SNAPSHOT, "Total", None))}),
+    f"""WITH {BUSY}, totals AS ({cube_part(SNAPSHOT, "Total", None)}),
     best AS (SELECT * FROM (SELECT city_geoid, "TaxRate_median", row_number() OVER (PARTITION BY city_geoid ORDER BY "count" DESC, period) AS r
       FROM totals WHERE CAST(city_geoid AS INTEGER) IN (SELECT place_id FROM rates)) WHERE r = 1),
     one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY table_order) AS r FROM rates) WHERE r = 1),
@@ -422,7 +430,7 @@ def city_boxplot(spark, d):
     bands AS (SELECT city_geoid, median("TaxRate") FILTER ("SaleBinsNarrow" = '2 - $120K-$180K') AS low,
       median("TaxRate") FILTER ("SaleBinsNarrow" = '4 - $270K-$330K') AS high FROM micro GROUP BY 1)
     SELECT o.city_geoid, o.city_name, o.city_state, CAST(o."SaleRecordingYear" AS INTEGER) AS sale_year, round(m, 9) AS "TaxRate_median",
-      round(low, 9) AS low_band_median, round(high, 9) AS high_band_median, best."TaxRate_median" AS "TaxRate_median_summary",
+      round(low, 9) AS low_band_median, round(high, 9) AS high_band_median, round(best."TaxRate_median", 9) AS "TaxRate_median_summary",
       round(tax_rate_median_value, 9) AS statutory_tax_rate_median, round(tax_rate_150k, 9) AS statutory_tax_rate_150k
     FROM overall o LEFT JOIN bands USING (city_geoid) LEFT JOIN best USING (city_geoid) LEFT JOIN one ON place_id = city_int""",
 )
@@ -577,7 +585,7 @@ def report_sql(mode, family: str, groups, labels) -> str:
         for n, v in (
             ("count", '"count"'),
             ("TaxRate_median", 'round("TaxRate_median", 9)'),
-            ("SaleAmt_mean", 'round("SaleAmt_mean", 5)'),
+            ("SaleAmt_mean", steady_sql('"SaleAmt_mean"', 5)),
         )
     )
     period = ', CAST(period AS INTEGER) AS "SaleRecordingYear"' if mode is SNAPSHOT else ""
@@ -591,11 +599,12 @@ def report_sql(mode, family: str, groups, labels) -> str:
 
 
 def _report(df, labels):
-    rounding = {
-        **{f"TaxRate_median_{l}": 9 for l in labels.values()},
-        **{f"SaleAmt_mean_{l}": 5 for l in labels.values()},
-    }
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), n) for c, n in rounding.items()})
+    return df.withColumns(
+        {
+            **{f"TaxRate_median_{l}": F.round(f"TaxRate_median_{l}", 9) for l in labels.values()},
+            **{f"SaleAmt_mean_{l}": steady(f"SaleAmt_mean_{l}", 5) for l in labels.values()},
+        }
+    )
 
 
 @case("narrow_report", report_sql(SNAPSHOT, "SaleBinsNarrow", None, report.NARROW_LABELS))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Column, functions as F
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,3 +22,20 @@ def case(name: str, sql: str | None = None) -> Callable:
         return build
 
     return register
+
+
+def shift(digits: int) -> float:
+    """A small offset added before rounding.
+
+    Means of cents over 16 or 32 sales end exactly on a rounding edge, where the last bit of a
+    floating-point sum would decide. The offset moves such values off the edge, in both engines.
+    """
+    return float(f"1.37e-{digits + 1}")
+
+
+def steady(c: Column | str, digits: int) -> Column:
+    return F.round((F.col(c) if isinstance(c, str) else c) + shift(digits), digits)
+
+
+def steady_sql(expression: str, digits: int) -> str:
+    return f"round({expression} + {shift(digits)!r}::DOUBLE, {digits})"
