@@ -158,9 +158,14 @@ def clean_deeds(raw: DataFrame) -> DataFrame:
     return clean_deed_fields(raw).select(*DEED_COLUMNS)
 
 
+def qualifying_history(raw: DataFrame) -> DataFrame:
+    """Value-history rows with a property id."""
+    return raw.where(F.col("PropertyID").isNotNull())
+
+
 def clean_history(raw: DataFrame) -> DataFrame:
     """Value history: typed ids and years."""
-    return raw.where(F.col("PropertyID").isNotNull()).withColumns(
+    return qualifying_history(raw).withColumns(
         {
             "PropertyID": F.col("PropertyID").try_cast("long"),
             "FIPS": clean.pad_left(F.col("FIPS"), 5),
@@ -417,10 +422,21 @@ def run(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
     def keep(name: str, build) -> DataFrame:
         return staged.materialize(spark, build, at(name))
 
-    raw_annual = read_delimited(spark, inputs.annual, schemas.ANNUAL)
-    raw_deeds = read_delimited(spark, inputs.deeds, schemas.DEEDS)
-    annual = keep("annual", lambda: clean_annual(raw_annual))
-    deeds = keep("deeds", lambda: clean_deeds(raw_deeds))
+    checks: dict[str, DataFrame] = {}
+
+    def take(name: str, path: str, schema, qualifying, cleaned) -> DataFrame:
+        """Stage a raw file, or reuse its stage; compare their counts while the raw file is there."""
+        if not staged.path_exists(spark, path):
+            if not staged.is_complete(spark, at(name)):
+                raise FileNotFoundError(f"neither {at(name)} nor {path} exists")
+            return spark.read.parquet(at(name))
+        raw = read_delimited(spark, path, schema)
+        table = keep(name, lambda: cleaned(raw))
+        checks[f"{name}_count"] = reconcile(qualifying(raw), table)
+        return table
+
+    annual = take("annual", inputs.annual, schemas.ANNUAL, qualifying_roll, clean_annual)
+    deeds = take("deeds", inputs.deeds, schemas.DEEDS, qualifying_deeds, clean_deeds)
     ranked = keep("ranked_sales", lambda: rank_sales(deeds, inputs.min_year, inputs.hot_rows))
     crosswalk = keep(
         "crosswalk",
@@ -460,16 +476,11 @@ def run(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
         "sales_staging": staging,
         "sales_staging_tiles": tiles,
         "summary": spark.read.parquet(at("summary")),
-        "annual_count": reconcile(qualifying_roll(raw_annual), annual),
-        "deeds_count": reconcile(qualifying_deeds(raw_deeds), deeds),
         "crosswalk_missing": coverage_report(annual, crosswalk, "PropertyID"),
         "crosswalk_duplicates": duplicates(crosswalk, "PropertyID"),
     }
     if inputs.history:
-        raw_history = read_delimited(spark, inputs.history, schemas.HISTORY)
-        history = keep("history", lambda: clean_history(raw_history))
-        out["history"] = history
-        out["history_count"] = reconcile(
-            raw_history.where(F.col("PropertyID").isNotNull()), history
+        out["history"] = take(
+            "history", inputs.history, schemas.HISTORY, qualifying_history, clean_history
         )
-    return out
+    return out | checks

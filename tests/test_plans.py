@@ -1,9 +1,10 @@
 """End-to-end runs on small raw files, dimension building and the combined report."""
 
 import random
+from dataclasses import replace
 
 import pytest
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import types as T
 
 from millgauge import schemas
 from millgauge.operators.spatial import Layer
@@ -160,7 +161,11 @@ def test_sales_follow_the_rules(outcome):
 
 def test_second_run_reuses_every_stage(spark, outcome):
     inputs, out, _, _ = outcome
-    again = etl.run(spark, inputs)
+    moved = replace(inputs, annual=inputs.annual + ".gone", history=None)
+    again = etl.run(spark, moved)
+    assert "annual_count" not in again and again["deeds_count"].first().matches
+    with pytest.raises(FileNotFoundError):
+        etl.run(spark, replace(moved, work=inputs.work + "-new"))
     assert again["summary"].count() == out["summary"].count()
     tables = export.export_queries(again["summary"], [SNAPSHOT], ["Total", "SaleAmt_Quintile"], "city_geoid", inputs.work + "/queries")
     assert len(tables) == 2
