@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from millgauge.operators.panel import annualise, coalesce_levels, deflate, loess, rebase
 from millgauge.operators.joins import equi_join
 from millgauge.plans import dimensions
-from verification.registry import case
+from verification.registry import case, steady, steady_sql
 from verification.standins import QUARTERLY, quarterly_index, table
 
 
@@ -32,8 +32,8 @@ def loess_sql(source: str, group: str, x: str, y: str, name: str, span: float =
 @case(
     "base_period_rebase",
     f"""WITH {QUARTERLY}, y AS (SELECT c_nationkey AS nation, "year", avg(hpi) AS hpi FROM quarterly GROUP BY 1, 2)
-    SELECT y.nation, y."year" AS index_year, round(y.hpi, 8) AS hpi, round(a.hpi / y.hpi, 8) AS hpi_index_1998,
-      round(b.hpi / y.hpi, 8) AS hpi_index_2000, round(100000 * (a.hpi / y.hpi), 4) AS deflated
+    SELECT y.nation, y."year" AS index_year, {steady_sql("y.hpi", 8)} AS hpi, {steady_sql("a.hpi / y.hpi", 8)} AS hpi_index_1998,
+      {steady_sql("b.hpi / y.hpi", 8)} AS hpi_index_2000, {steady_sql("100000 * (a.hpi / y.hpi)", 4)} AS deflated
     FROM y LEFT JOIN y a ON a.nation = y.nation AND a."year" = 1998
     LEFT JOIN y b ON b.nation = y.nation AND b."year" = 2000""",
 )
@@ -46,8 +46,8 @@ def base_period_rebase(spark, d):
     return money.select(
         F.col("c_nationkey").alias("nation"),
         F.col("year").alias("index_year"),
-        *[F.round(c, 8).alias(c) for c in ("hpi", "hpi_index_1998", "hpi_index_2000")],
-        F.round("deflated", 4).alias("deflated"),
+        *[steady(c, 8).alias(c) for c in ("hpi", "hpi_index_1998", "hpi_index_2000")],
+        steady("deflated", 4).alias("deflated"),
     )
 
 
@@ -79,7 +79,7 @@ def loess_panel(spark, d):
       r AS (SELECT n_regionkey AS region, "year", avg(hpi) AS v FROM quarterly JOIN nation ON n_nationkey = c_nationkey
         WHERE (n_regionkey + "year") % 3 <> 0 GROUP BY 1, 2),
       w AS (SELECT "year", avg(hpi) AS v FROM quarterly GROUP BY 1)
-    SELECT n_nationkey AS nation, w."year" AS index_year, round(coalesce(n.v, r.v, w.v), 8) AS hpi_index
+    SELECT n_nationkey AS nation, w."year" AS index_year, {steady_sql("coalesce(n.v, r.v, w.v)", 8)} AS hpi_index
     FROM nation CROSS JOIN w LEFT JOIN n ON n.nation = n_nationkey AND n."year" = w."year"
     LEFT JOIN r ON r.region = n_regionkey AND r."year" = w."year" """,
 )
@@ -108,7 +108,7 @@ def index_hierarchy(spark, d):
     return coalesce_levels(joined, ["fine", "middle", "world"], "hpi_index").select(
         F.col("n_nationkey").alias("nation"),
         F.col("year").alias("index_year"),
-        F.round("hpi_index", 8).alias("hpi_index"),
+        steady("hpi_index", 8).alias("hpi_index"),
     )
 
 
