@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millgauge.llm.language import identify
+from millgauge.llm.line_dedup import dedup_lines
+from millgauge.llm.mixing import mix
 from millgauge.llm.near_dup import near_duplicates
+from millgauge.llm.neighbours import nearest
+from millgauge.llm.packing import pack
+from millgauge.llm.quality import classify
+from millgauge.llm.sharding import balanced_shards
+from millgauge.llm.top_scores import top_scores
+from millgauge.llm.url_filter import judge
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -64,3 +73,146 @@ WORDS_SQL = r"""regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKL
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
+def fold(parts: int):
+    """The remainder of the checksum of the document number."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def tokenizer() -> str:
+    """The tokenizer file; Spark tasks get its contents from the driver."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op1_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2,048 tokens in the proportions of their sources."""
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer())
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
+@query("op2_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150% of all words takes of each document."""
+    mixed = mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+PAGE_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+@query("op4_url_filter")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page addresses; the number in a path names the document whose label it bears."""
+    number = F.regexp_extract("path", r"/(\d{1,18})(?:\D|$)", 1)
+    key = F.when(number != "", number.cast("long"))
+    judged = judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), PAGE_RULES, key=key)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, equal texts together."""
+    placed = balanced_shards(table(spark, sf_dir, "documents"))
+    grown = F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), grown)
+
+
+BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    "op6_line_dedup",
+    f"""
+    WITH docs AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+    lines AS (SELECT r, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM docs),
+    keyed AS (
+        SELECT *, translate(trim(line, {BLANKS_SQL}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM lines
+    ),
+    common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+    marked AS (SELECT k.*, c.key IS NOT NULL AS gone FROM keyed k LEFT JOIN common c ON c.key = k.key),
+    kept AS (
+        SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+            coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+        FROM marked GROUP BY r
+    )
+    SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM docs JOIN kept USING (r)
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more share."""
+    kept = dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    text = F.coalesce("kept_text", F.lit("")).cast("binary")
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
+
+
+@query("op7_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(3) == 1
+    found = identify(docs, docs.where(F.coalesce(~held_out, F.lit(False))))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+VECTORS_SQL = """
+    vectors AS (
+        SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+        WHERE len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    )"""
+
+
+@query(
+    "op8_neighbours",
+    f"""
+    WITH {VECTORS_SQL},
+    searched AS (SELECT * FROM vectors WHERE len(list_filter(v, lambda x: x <> 0)) > 0),
+    pairs AS (
+        SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: (c.v[i] - q.v[i]) * (c.v[i] - q.v[i])))) AS score
+        FROM searched q JOIN searched c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+    )
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INTEGER AS rank, vec_id, score
+    FROM pairs QUALIFY rank <= 10
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels of four fifths of them."""
+    labels = table(spark, sf_dir, "labels").where(F.coalesce(fold(5) != 0, F.lit(False)))
+    found = classify(table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query(
+    "op10_top_scores",
+    f"""
+    WITH {VECTORS_SQL},
+    whole AS (SELECT vec_id, list_transform(v, lambda x: floor(1024 * x)) AS v FROM vectors),
+    pairs AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+        FROM whole q JOIN whole c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+    )
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+    FROM pairs QUALIFY rank <= 10
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector."""
+    return top_scores(table(spark, sf_dir, "embeddings"))
