@@ -1,18 +1,68 @@
-"""Documents to packed training sequences, stage by stage."""
+"""Documents to packed training sequences: quality, lines, near-duplicates, mixture, packing.
+
+Every stage takes all that its predecessor kept and returns documents, the last one packed pieces.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from millgauge.llm.line_dedup import dedup_lines
+from millgauge.llm.mixing import mixed_documents
+from millgauge.llm.near_dup import near_duplicates
+from millgauge.llm.packing import pack
+from millgauge.llm.quality import keep_good
+from millgauge.llm.queries import fold, tokenizer
+from millgauge.sources.staged import cut_lineage
+
+#: Lines that this many documents share stay in the first of them alone.
+LINE_DOCS = 10
 
+#: Training order and sampling have no SQL form.
 ORACLE_SQL = None
 
-STAGES: list = []
+
+def with_text(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """The documents in the struct ``row`` with another text, and n_chars to match."""
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier accepts; it learns from the same labels as its query."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.coalesce(fold(5) != 0, F.lit(False)))
+    return keep_good(docs, labels)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the lines that another one had first; one that loses all its words goes."""
+    kept = dedup_lines(docs, min_docs=LINE_DOCS, keep_first=True)
+    kept = kept.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    return with_text(kept, "kept_text", docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    found = near_duplicates(docs, shingle_words=5, percent=80)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the target weights of their sources ask for."""
+    return mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as token ids in windows of 2,048."""
+    return pack(docs, tokenizer())
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is written to the shared folder and read again."""
-    from millgauge.sources.staged import cut_lineage
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir), name)
