@@ -2,7 +2,8 @@
 
 Sources get token targets by weight, held under a multiple of their size. The targets, counted in blocks
 of equal tokens, go to the sources by the highest quotients target / (2 k + 1), and a source's blocks to
-its shards in the same way by size. A shard takes whole passes over its blocks for as often as its quota
+its shards in the same way by the blocks they hold. A shard is cut into equal blocks of at most ``block``
+tokens. It takes whole passes over its blocks for as often as its quota
 holds them all, and for the rest a run of blocks from a seeded place on; its documents lie in an order
 seeded by hash, so the run is a random choice that cuts at most two documents.
 """
@@ -22,7 +23,7 @@ from millgauge.sources.staged import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Share of the whole corpus that is taken, and how often one document may be.
 SHARE, REPEATS = 1.5, 2
-#: Tokens in a block, rows in a shard (speed only).
+#: Most tokens in a block, rows in a shard (speed only).
 BLOCK, SHARD_ROWS = 16, 20_000
 
 
@@ -123,23 +124,23 @@ def mix(
     shards = max(1, math.ceil(sizes.count() / shard_rows))
     shard = F.pmod("order", F.lit(shards)).alias("shard")
     cells = cut_lineage(
-        sizes.groupBy("source", shard).agg(F.sum("size").alias("cell_size")), "cells"
+        sizes.groupBy("source", shard).agg(F.sum("size").alias("cell_size")).withColumn("held", F.ceil(F.col("cell_size") / block)), "cells"
     )
-    sources = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, repeats)
+    of_source = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"), F.sum("held").alias("held"))
+    sources = targets(of_source, weights, share, repeats)
 
     def to_sources(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("source", na_position="last", kind="stable")
-        most = repeats * np.ceil(group["source_size"].to_numpy(float) / block).astype(np.int64)
-        want = group["target"].to_numpy(float)
-        group["blocks"] = sainte_lague(want, int(want.sum() / block + 0.5), most)
+        held = group["held"].to_numpy(np.int64)
+        want = group["target"].to_numpy(float) / np.maximum(group["source_size"], 1).to_numpy(float) * held
+        group["blocks"] = sainte_lague(want, int(want.sum() + 0.5), repeats * held)
         return group[["source", "source_size", "target", "blocks"]]
 
     def to_shards(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("shard")
-        size = group["cell_size"].to_numpy(np.int64)
-        most = repeats * -(-size // block)
-        group["quota"] = sainte_lague(size.astype(float), int(group["blocks"].iloc[0]), most)
-        return group[["source", "shard", "cell_size", "source_size", "target", "quota"]]
+        held = group["held"].to_numpy(np.int64)
+        group["quota"] = sainte_lague(held.astype(float), int(group["blocks"].iloc[0]), repeats * held)
+        return group[["source", "shard", "cell_size", "source_size", "target", "held", "quota"]]
 
     shared = sources.groupBy(F.lit("all").alias("all")).applyInPandas(
         lambda g: to_sources(g), "source string, source_size long, target double, blocks long"
@@ -147,7 +148,7 @@ def mix(
     same = cells["source"].eqNullSafe(shared["source"])
     given = cells.join(shared, same).drop(shared["source"]).groupBy("source").applyInPandas(
         lambda g: to_shards(g),
-        "source string, shard long, cell_size long, source_size long, target double, quota long",
+        "source string, shard long, cell_size long, source_size long, target double, held long, quota long",
     )
     given = cut_lineage(given, "quotas")
     line = Window.partitionBy("source", "shard").orderBy("order", "size")
@@ -155,7 +156,7 @@ def mix(
     both = placed.alias("p").join(
         given.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source")) & (F.col("p.shard") == F.col("g.shard"))
     )
-    blocks = F.greatest(F.ceil(F.col("cell_size") / block), F.lit(1)).cast("long")
+    blocks = F.greatest("held", F.lit(1))
     begin = F.col("end") - F.col("size")
     spans = both.select(
         "row", "p.source", "size", "source_size", "target", "end", begin.alias("begin"), "cell_size",
@@ -167,15 +168,17 @@ def mix(
         F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.col("blocks")).alias("first"), "blocks", "cell_size",
     )
 
-    def within(place: Column) -> Column:
-        """A place in the shard as a word of this document."""
+    def within(number: Column) -> Column:
+        """The word of this document at which a block begins, held between its ends."""
+        words = number * F.col("cell_size")
+        place = ((words - words % F.col("blocks")) / F.col("blocks")).cast("long")
         return F.least(F.greatest(place - F.col("begin"), F.lit(0)), F.col("size")).cast("long")
 
     run = F.col("first") + F.col("rest")
     out = spans.select(
         "row", "source", "size", "source_size", "target", "passes",
-        within(F.col("first") * block).alias("from_1"), within(F.least(run, F.col("blocks")) * block).alias("to_1"),
-        within(F.lit(0)).alias("from_2"), within(F.greatest(run - F.col("blocks"), F.lit(0)) * block).alias("to_2"),
+        within(F.col("first")).alias("from_1"), within(F.least(run, F.col("blocks"))).alias("to_1"),
+        within(F.lit(0)).alias("from_2"), within(F.greatest(run - F.col("blocks"), F.lit(0))).alias("to_2"),
     )
     taken = F.col("passes") * F.col("size") + F.col("to_1") - F.col("from_1") + F.col("to_2") - F.col("from_2")
     return out.withColumn("taken", taken)

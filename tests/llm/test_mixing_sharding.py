@@ -70,7 +70,7 @@ def test_mix_meets_the_targets(frame):
         taken[r.source] += r.taken
     for s in sizes:
         shards = 1 + len(rows) // 100
-        assert abs(taken[s] - targets[s]) <= 16 * (shards + 1), s
+        assert abs(taken[s] - targets[s]) <= 16 + shards, s
     assert len(found) == len(rows)
 
 
