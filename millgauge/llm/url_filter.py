@@ -1,27 +1,28 @@
 """Verdicts on web addresses: fixed rules, and a path-template tree with labelled purity.
 
-Each host has a tree of path segments. From the top down, a segment stays literal if enough addresses
-share it and their labels differ from those of its siblings by more than chance (a two-proportion test);
-all other siblings are merged into one wildcard branch. An address belongs to the template that its
-segments lead to. The purity of a template is the share of good labels, smoothed towards its host and that
+Each host has a tree of path segments. From the top down, a segment is a branch if enough addresses share
+it; all other siblings are one wildcard branch. Branches in the order of their share of good labels are
+merged with their neighbour unless the two differ by more than chance (a two-proportion test). A branch
+merged with the wildcard is part of it, others are named by their segments. An address belongs to the
+template that its segments lead to. The purity of a template is the share of good labels, smoothed towards its host and that
 towards the whole; templates under the limit are rejected.
 
 Addresses are counted once per host and path before the tree is built, and a level takes one aggregation
-and one join with the few literal segments, so a host with a third of all pages is no special case.
+and one join with the few named segments (at most 1 / PART below a node), so a host with a third of all pages is no special case.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millgauge.sources.staged import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Segments that have levels of their own; what lies deeper is one last wildcard.
 DEPTH = 12
-#: Addresses and share of its siblings that a literal segment needs, and the test's limit in deviations.
+#: Addresses and share of its siblings that a branch needs, and the test's limit in deviations.
 SUPPORT, PART, DEVIATIONS = 20, 0.01, 1.96
 #: Labels that the purity of the next larger set counts for, and the least accepted purity.
 STRENGTH, PURITY = 10.0, 0.5
@@ -46,6 +47,30 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return name, verdict
 
 
+def branches(children: DataFrame, support: int, part: float) -> DataFrame:
+    """(host, template, segment, name) of the segments that are not in the wildcard branch of their node."""
+    node, labelled = ["host", "template"], F.col("good") + F.col("bad") > 0
+    whole = children.groupBy(*node).agg(F.sum("n").alias("all"))
+    joined = children.join(whole, node).withColumn(
+        "branch", F.when((F.col("n") >= support) & (F.col("n") >= F.col("all") * part) & labelled, F.col("segment"))
+    )
+    merged = joined.groupBy(*node, "branch").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where(labelled)
+    total = F.col("good") + F.col("bad")
+    line = Window.partitionBy(*node).orderBy(F.col("good") / total, "branch")
+    good, bad = F.lag("good").over(line), F.lag("bad").over(line)
+    pooled = (F.col("good") + good) / (total + good + bad)
+    gap = F.col("good") / total - good / (good + bad)
+    unlike = gap * gap > DEVIATIONS**2 * pooled * (1 - pooled) * (1 / total + 1 / (good + bad))
+    groups = merged.withColumn("unlike", unlike).withColumn(
+        "group", F.sum(F.coalesce("unlike", F.lit(False)).cast("int")).over(line)
+    )
+    members = groups.groupBy(*node, "group").agg(
+        F.sort_array(F.collect_list("branch")).alias("segments"), F.count_if(F.col("branch").isNull()).alias("wild")
+    ).where("wild = 0")
+    name = F.when(F.size("segments") == 1, F.col("segments")[0]).otherwise(F.concat(F.lit("{"), F.array_join("segments", "|"), F.lit("}")))
+    return members.select(*node, F.explode("segments").alias("segment"), name.alias("name"))
+
+
 def templates(paths: DataFrame, depth: int = DEPTH, support: int = SUPPORT, part: float = PART) -> DataFrame:
     """(host, path, n, good, bad) with the template of each path."""
     state = paths.withColumn("segments", F.slice(F.split("path", "/"), 2, 1 << 30)).withColumn("template", F.lit(""))
@@ -58,18 +83,8 @@ def templates(paths: DataFrame, depth: int = DEPTH, support: int = SUPPORT, part
         )
         if children.isEmpty():
             break
-        parents = children.groupBy("host", "template").agg(F.sum("n").alias("all"), F.sum("good").alias("pg"), F.sum("bad").alias("pb"))
-        own, rest = F.col("good") + F.col("bad"), F.col("pg") - F.col("good") + F.col("pb") - F.col("bad")
-        pooled = F.col("pg") / (F.col("pg") + F.col("pb"))
-        gap = F.col("good") / own - (F.col("pg") - F.col("good")) / rest
-        unlike = F.when((own > 0) & (rest > 0), gap * gap > DEVIATIONS**2 * pooled * (1 - pooled) * (1 / own + 1 / rest))
-        literal = (
-            children.join(parents, ["host", "template"])
-            .where((F.col("n") >= support) & (F.col("n") >= F.col("all") * part) & F.coalesce(unlike, F.lit(False)))
-            .select("host", "template", "segment", F.lit(True).alias("literal"))
-        )
-        joined = state.withColumn("segment", segment).join(literal, ["host", "template", "segment"], "left")
-        step = F.when(F.col("segment").isNull(), "").when(F.col("literal"), F.concat(F.lit("/"), "segment")).otherwise("/*")
+        joined = state.withColumn("segment", segment).join(branches(children, support, part), ["host", "template", "segment"], "left")
+        step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.coalesce("name", F.lit("*"))))
         state = cut_lineage(
             joined.withColumn("template", F.concat("template", step)).select("host", "path", "n", "good", "bad", "segments", "template"),
             "level",
