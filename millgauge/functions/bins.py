@@ -90,8 +90,8 @@ def period_band(year: Column, split_year: int = 2019) -> Column:
 
 
 def quantile_of_percentile(percentile: Column, groups: int) -> Column:
-    """Percentile 1..100 to ``groups`` equal groups (10 deciles, 5 quintiles)."""
-    return F.ceil(percentile / (100 // groups)).cast("int")
+    """Percentile 1..100 to ``groups`` groups as equal as whole percentiles allow (10 deciles, 5 quintiles)."""
+    return F.ceil(percentile * groups / 100).cast("int")
 
 
 def rank_quartile(rank: Column, thresholds: Sequence[int] = (18, 36, 54)) -> Column:
@@ -102,6 +102,17 @@ def rank_quartile(rank: Column, thresholds: Sequence[int] = (18, 36, 54)) -> Col
     return out.when(rank > thresholds[-1], len(thresholds) + 1)
 
 
+def _equal_bin(share: Column, bins: Column) -> Column:
+    """The bin of ``share`` between the edges ``k * (1 / bins)`` and 1, right-closed; null at or below 0.
+
+    The product guesses the bin; the two edges around it decide, so rounding cannot move a share.
+    """
+    step, guess = F.lit(1.0) / bins, F.ceil(share * bins) - 1
+    upper = F.when(guess + 1 >= bins, F.lit(1.0)).otherwise((guess + 1) * step)
+    index = F.when(share <= guess * step, guess - 1).when(share > upper, guess + 1).otherwise(guess)
+    return F.when(share > 0, index)
+
+
 def weighted_qcut(
     df: DataFrame,
     value: str,
@@ -123,10 +134,9 @@ def weighted_qcut(
     run = running_totals(merged, [], [spec], hot_rows)
     share = F.try_divide(F.col("_upto").cast("double"), F.col("_total"))
     if per_group is not None:
-        bins = F.ceil(F.col("_total") / per_group)
-        index = F.ceil(share * bins) - 1
+        index = _equal_bin(share, F.ceil(F.col("_total") / per_group))
     elif isinstance(q, int):
-        index = F.ceil(share * q) - 1
+        index = _equal_bin(share, F.lit(q))
     elif q is not None:
         edges = F.array(*[F.lit(float(e)) for e in q])
         below = F.size(F.filter(edges, lambda e: e < share))
@@ -137,5 +147,9 @@ def weighted_qcut(
 
 
 def chunk_keys(assigned: DataFrame, value: str, into: str = "partition_index") -> DataFrame:
-    """One row per chunk with its sorted list of keys."""
+    """One row per chunk with its sorted list of keys.
+
+    For chunks of bounded size, as ``weighted_qcut`` makes them with ``per_group``; a fixed number of
+    chunks grows with the table, and its keys are better left as rows.
+    """
     return assigned.groupBy(into).agg(F.sort_array(F.collect_list(value)).alias("keys"))

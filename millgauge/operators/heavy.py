@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 HOT_ROWS = 1_000_000
-MAX_SLICES = 4096  # per group; slices grow past hot_rows only beyond 4 * 10^9 rows in one group
+SEARCH_STEPS = 31  # binary search over any number of cut points that fits an array
 SAMPLES_PER_SLICE = 16
 
 
@@ -76,12 +76,14 @@ def split_heavy(
 
 
 def _slice_of(cuts: Column, key: Column) -> Column:
-    """How many cut points lie below ``key``: binary search, 12 steps for up to 4095 cuts."""
-    steps = F.array(*[F.lit(MAX_SLICES >> s) for s in range(1, MAX_SLICES.bit_length())])
+    """How many cut points lie below ``key``, by binary search."""
+    steps = F.array(*[F.lit(1 << s) for s in reversed(range(SEARCH_STEPS - 1))])
     found = F.aggregate(
         steps,
         F.lit(0),
-        lambda at, step: F.when(F.get(cuts, at + step - 1) < key, at + step).otherwise(at),
+        lambda at, step: F.when(
+            (step <= F.size(cuts) - at) & (F.get(cuts, at + step - 1) < key), at + step
+        ).otherwise(at),
     )
     return F.when(cuts.isNull(), F.lit(0)).otherwise(found)
 
@@ -104,7 +106,7 @@ def slice_heavy(
     source = df if samples is None else samples
     key = F.struct(*[F.col(c) for c in order])
     hot = heavy_groups(source, by, hot_rows).withColumn(
-        "_k", F.least(F.expr(f"_n div {hot_rows}") + 1, F.lit(MAX_SLICES))
+        "_k", F.expr(f"_n div {hot_rows}") + 1
     )
     every = F.greatest(F.expr(f"_n div (_k * {SAMPLES_PER_SLICE})"), F.lit(1))
     picked = (

@@ -5,7 +5,6 @@ from __future__ import annotations
 import statistics
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -20,7 +19,7 @@ def _interpolate(ranked: Column, prob: float, size: Column) -> Column:
     at = F.lit(prob) * (size - 1)
     low, high = F.floor(at), F.ceil(at)
     below, above = F.element_at(ranked, low), F.element_at(ranked, high)
-    return F.when(low == high, below).otherwise((high - at) * below + (at - low) * above)
+    return F.when((low == high) | (below == above), below).otherwise((high - at) * below + (at - low) * above)
 
 
 def _heavy_quantiles(
@@ -133,7 +132,8 @@ def exact_quantiles(
     """Exact, linearly interpolated quantiles: one array column per measure in ``probs``.
 
     ``percentile`` keeps a value map per group, so it serves groups of at most ``hot_rows`` rows;
-    larger groups go through :func:`_heavy_quantiles`. Both use the same interpolation.
+    larger groups go through :func:`_heavy_quantiles`. Both use the same interpolation, and both give a
+    group without values one row of nulls.
     """
     light, heavy = split_heavy(df.select(*by, *probs), by, hot_rows)
     if heavy is not None and not by:
@@ -146,13 +146,18 @@ def exact_quantiles(
     )
     if heavy is None:
         return light_q
-    return light_q.unionByName(_heavy_quantiles(heavy, by, probs))
+    groups = heavy.select(*by).distinct()
+    return light_q.unionByName(attach(groups, _heavy_quantiles(heavy, by, probs), by))
 
 
 def exact_quantiles_sorted(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
-    """The same quantiles by sorting: value counts, running totals, two order statistics each."""
+    """The same quantiles by sorting: value counts, running totals, two order statistics each.
+
+    A group without values gives a row with null.
+    """
+    groups = df.select(*by).distinct() if by else None
     ranked = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value)
@@ -179,10 +184,11 @@ def exact_quantiles_sorted(
             ).alias("_ranked")
         )
     )
-    return found.select(
+    found = found.select(
         *by,
         F.array(*[_interpolate(F.col("_ranked"), float(p), F.col("_n")) for p in probs]).alias(value),
     )
+    return found if groups is None else join_null_safe(groups, found, by)
 
 
 def distribution(
@@ -264,23 +270,33 @@ def boxplot(
     return join_null_safe(boxes, order, by).orderBy("order_iqr", *by)
 
 
+def _interval_rank():
+    """The rank function as a closure: Spark ships it by value, so executors need not import this module."""
+    import numpy as np
+
+    def rank_of(size: int, conf: float) -> int:
+        n = int(size)
+        if n <= 0:
+            return 0
+        reach = int(40 * max(n, 1) ** 0.5) + 40
+        low, high = max(0, n // 2 - reach), min(n, n // 2 + reach)
+        k = np.arange(low, high, dtype="float64")
+        logs = np.concatenate([[0.0], np.cumsum(np.log(n - k) - np.log(k + 1))])
+        weight = np.exp(logs - logs.max())
+        cdf = np.cumsum(weight) / weight.sum()
+        # the same small slack the usual quantile routines use, so exact hits are not lost to rounding
+        return low + int(np.searchsorted(cdf, (1 - conf) / 2 * (1 - 64 * np.finfo(float).eps), side="left"))
+
+    return rank_of
+
+
 def median_interval_rank(size: int, conf: float) -> int:
     """Smallest k with P(Binomial(size, 1/2) <= k) >= (1 - conf) / 2.
 
     Probabilities are built outwards from the mode by their ratios, over the part of the range
     that carries any weight, so the cost grows with the square root of ``size``.
     """
-    n = int(size)
-    if n <= 0:
-        return 0
-    reach = int(40 * max(n, 1) ** 0.5) + 40
-    low, high = max(0, n // 2 - reach), min(n, n // 2 + reach)
-    k = np.arange(low, high, dtype="float64")
-    logs = np.concatenate([[0.0], np.cumsum(np.log(n - k) - np.log(k + 1))])
-    weight = np.exp(logs - logs.max())
-    cdf = np.cumsum(weight) / weight.sum()
-    # the same small slack the usual quantile routines use, so exact hits are not lost to rounding
-    return low + int(np.searchsorted(cdf, (1 - conf) / 2 * (1 - 64 * np.finfo(float).eps), side="left"))
+    return _interval_rank()(size, conf)
 
 
 def median_ci(
@@ -293,15 +309,17 @@ def median_ci(
 ) -> DataFrame:
     """Median with its exact two-sided confidence interval from order statistics.
 
-    Bounds are the k-th smallest and k-th largest value with k the binomial quantile at
+    A group without values gives a row with nulls. Bounds are the k-th smallest and k-th largest value with k the binomial quantile at
     ``(1 - conf) / 2``; both are null when the group is too small for a bound (k = 0). The table from
     group size to k is broadcast: groups of different sizes in a table of N rows number at most
     ``sqrt(2 N)``, 1.4 million for 10^12 rows.
     """
 
+    rank_of = _interval_rank()
+
     @F.pandas_udf("long")
     def rank_for(sizes: pd.Series) -> pd.Series:
-        known = {n: median_interval_rank(n, conf) for n in sizes.unique()}
+        known = {n: rank_of(n, conf) for n in sizes.unique()}
         return sizes.map(known)
 
     counts = (
@@ -320,7 +338,7 @@ def median_ci(
         return F.max(F.when(hit, F.col(value)))
 
     middle = (at(F.expr("(_n + 1) div 2")) + at(F.expr("_n div 2 + 1"))) / 2
-    return ranked.groupBy(*by).agg(
+    bounds = ranked.groupBy(*by).agg(
         middle.alias(f"{prefix}_est"),
         F.max(F.when(F.col("_k") > 0, F.lit(1))).alias("_has"),
         at(F.col("_k")).alias("_lo"),
@@ -331,6 +349,7 @@ def median_ci(
         F.when(F.col("_has") == 1, F.col("_lo")).alias(f"{prefix}_lo_ci"),
         F.when(F.col("_has") == 1, F.col("_hi")).alias(f"{prefix}_hi_ci"),
     )
+    return join_null_safe(df.select(*by).distinct(), bounds, by) if by else bounds
 
 
 def compare_with_statutory(

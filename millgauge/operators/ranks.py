@@ -9,6 +9,18 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from millgauge.operators.heavy import HOT_ROWS, Running, running_totals
 
 
+def newest_first(df: DataFrame, date: str, tiebreak: str) -> list[Column]:
+    """Ascending sort keys for the newest first at full precision, rows without a date last."""
+    kind = df.schema[date].dataType.typeName()
+    if kind == "date":
+        key = F.unix_date(F.col(date)).cast("long")
+    elif kind.startswith("timestamp"):
+        key = F.unix_micros(F.col(date).cast("timestamp"))
+    else:
+        key = F.col(date)
+    return [F.col(date).isNull(), -key, F.col(tiebreak)]
+
+
 def recency_rank(
     df: DataFrame,
     keys: Sequence[str],
@@ -22,8 +34,7 @@ def recency_rank(
     Ties are broken by ``tiebreak`` ascending, so reruns give the same ranks. Rows without a
     date sort last and do not use up a rank.
     """
-    order = [F.col(date).isNull(), -F.unix_date(F.col(date)), F.col(tiebreak)]
-    ranked = running_totals(df, keys, [Running("_rank", order)], hot_rows)
+    ranked = running_totals(df, keys, [Running("_rank", newest_first(df, date, tiebreak))], hot_rows)
     return ranked.withColumn(
         into, F.when(F.col(date).isNotNull(), F.col("_rank")).cast("int")
     ).drop("_rank")
@@ -104,17 +115,16 @@ def ntile(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Tile number 1..tiles by ascending value; the first tiles take the remainder rows."""
-    present = df.where(F.col(value).isNotNull())
-    spec = Running("_rank", [F.col(value), F.col(tiebreak)], total="_size")
-    ranked = running_totals(present, by, [spec], hot_rows)
+    present = F.col(value).isNotNull()
+    order = [~present, F.col(value), F.col(tiebreak)]
+    specs = [Running("_rank", order), Running("_count", order, present.cast("long"), "_size")]
+    ranked = running_totals(df, by, specs, hot_rows)
     base, extra = F.expr(f"_size div {tiles}"), F.col("_size") % tiles
     wide = extra * (base + 1)
     tile = F.when(
         F.col("_rank") <= wide, F.ceil(F.col("_rank") / (base + 1))
     ).otherwise(extra + F.ceil(F.try_divide(F.col("_rank") - wide, base)))
-    tiled = ranked.withColumn(into, tile.cast("int")).drop("_rank", "_size")
-    missing = df.where(F.col(value).isNull()).withColumn(into, F.lit(None).cast("int"))
-    return tiled.unionByName(missing)
+    return ranked.withColumn(into, F.when(present, tile).cast("int")).drop("_rank", "_size", "_count")
 
 
 def global_rank(

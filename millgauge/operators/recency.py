@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from millgauge.operators.heavy import HOT_ROWS, Running, running_totals, split_heavy
-from millgauge.operators.joins import equi_join
+from millgauge.operators.ranks import newest_first
 
 
 def recency_ranks(
@@ -20,9 +20,9 @@ def recency_ranks(
 ) -> DataFrame:
     """Rank within ``(period, entity)`` and within ``entity``, newest = 1, null without a date.
 
-    ``period`` must be the year (or month) of ``date``. Both windows of ordinary entities run on one
-    shuffle by ``entity``. For an entity with more than ``hot_rows`` rows the overall rank is
-    sliced, and the rank inside a period is what is left of it after the rows of later periods.
+    ``period`` is any column. Both windows of ordinary entities run on one shuffle by ``entity``. For an
+    entity with more than ``hot_rows`` rows both ranks are sliced, one per entity and one per entity and
+    period, in the same order as the plain windows.
     """
     light, heavy = split_heavy(df, [entity], hot_rows)
     newest = [F.col(date).desc_nulls_last(), F.col(tiebreak).asc()]
@@ -35,24 +35,13 @@ def recency_ranks(
     if heavy is None:
         return ranked
 
-    order = [F.col(date).isNull(), -F.unix_date(F.col(date)), F.col(tiebreak)]
-    sliced = running_totals(heavy, [entity], [Running("_rank", order)], hot_rows)
-    later = W.partitionBy(entity).orderBy(F.desc(period)).rowsBetween(W.unboundedPreceding, -1)
-    sizes = (
-        heavy.where(dated)
-        .groupBy(entity, period)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0)))
-        .drop("_n")
-    )
-    sliced = (
-        equi_join(sliced, sizes, [entity, period], "left")
-        .withColumns(
-            {
-                by_period: F.when(dated, F.col("_rank") - F.col("_later")).cast("int"),
-                overall: F.when(dated, F.col("_rank")).cast("int"),
-            }
-        )
-        .drop("_rank", "_later")
-    )
+    order = newest_first(heavy, date, tiebreak)
+    sliced = running_totals(heavy, [entity], [Running("_overall", order)], hot_rows)
+    sliced = running_totals(sliced, [entity, period], [Running("_inside", order)], hot_rows)
+    sliced = sliced.withColumns(
+        {
+            by_period: F.when(dated, F.col("_inside")).cast("int"),
+            overall: F.when(dated, F.col("_overall")).cast("int"),
+        }
+    ).drop("_inside", "_overall")
     return ranked.unionByName(sliced)

@@ -70,8 +70,8 @@ def summarise(
 ) -> DataFrame:
     """Counts, distinct ids, sums, means, medians and standard deviations per group.
 
-    Ordinary groups, of at most ``hot_rows`` rows, take one aggregation: their value maps and id sets
-    are bounded by the group size. In heavy groups the sums merge map-side, the medians are found by
+    Ordinary groups, of at most ``hot_rows`` rows, take one aggregation: their value maps are bounded by
+    the group size. Distinct ids are counted after a distinct that can spill. In heavy groups the sums merge map-side, the medians are found by
     bracketing, and the distinct ids are counted spread over ``(by, id)``.
     """
     medians = [m for m, stats in measures.items() if "median" in stats]
@@ -79,9 +79,13 @@ def summarise(
     light, heavy = split_heavy(df.select(id_col, *by, *measures), by, hot_rows)
     plain = light.groupBy(*by).agg(
         *_mergeable(measures, counted),
-        F.size(F.collect_set(id_col)).cast("long").alias(unique),
         *[F.median(m).alias(f"{m}_median") for m in medians],
     )
+    pairs = light.select(*by, id_col).distinct()
+    plain = join_null_safe(plain, pairs.groupBy(*by).agg(F.count(id_col).alias(unique)), by).select(
+        *by, *[c for c in plain.columns if c not in by and not c.endswith("_median")], unique,
+        *[f"{m}_median" for m in medians],
+    )
     if heavy is None:
         return plain
     heavy_medians = _heavy_quantiles(heavy, by, {m: [0.5] for m in medians}).select(

@@ -67,8 +67,7 @@ def index_levels(
 ) -> DataFrame:
     """County-year grid with the county, metro, non-metro and state index side by side.
 
-    The last year is added for every county, so the grid reaches it even if the county file does
-    not. Quarterly sources are averaged per year. The county-year grid is completed once: the left
+    The last year is added for every county whose file does not reach it. Quarterly sources are averaged per year. The county-year grid is completed once: the left
     joins after it keep its rows, and a county's state and metro area do not vary.
     """
     listed = counties.where(~F.col("state_fips").isin(*TERRITORIES))
@@ -80,6 +79,7 @@ def index_levels(
     extra = listed.select(
         "county_fips", F.lit(last_year).alias("year"), F.lit(None).cast("double").alias("hpi_county")
     )
+    extra = extra.join(county.select("county_fips", "year"), ["county_fips", "year"], "left_anti")
     attributes = listed.select("county_fips", "cbsa_fips")
     grid = complete(union_all([county, extra]), ["county_fips"], "year")
     grid = equi_join(grid, attributes, ["county_fips"], "left").withColumn(

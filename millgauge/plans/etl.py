@@ -249,11 +249,12 @@ def geocode(
     ).drop("_block_group", "_tract")
     side = counties.select(*COUNTY_COLUMNS).withColumn("_county", F.col("county_fips"))
     placed = equi_join(placed, side, {"FIPS": "_county"}, "left")
+    # Parcels without coordinates are dropped before the spatial join, where they would share one key.
+    valid = staged.cut_lineage(located_only(placed, "SitusLongitude", "SitusLatitude"), "located")
     labelled = layered_join(
-        placed, layers, "PropertyID", "SitusLongitude", "SitusLatitude", hot_rows
+        valid, layers, "PropertyID", "SitusLongitude", "SitusLatitude", hot_rows
     )
-    valid = located_only(labelled, "SitusLongitude", "SitusLatitude")
-    return with_geohash(valid, "SitusLatitude", "SitusLongitude", "geohash", geohash_precision)
+    return with_geohash(labelled, "SitusLatitude", "SitusLongitude", "geohash", geohash_precision)
 
 
 def stage_sales(

@@ -79,3 +79,19 @@ def test_weighted_qcut_chunks(frame):
     assert [r["keys"] for r in chunks] == [["a"], ["b"], ["c", "d"]]
     with pytest.raises(ValueError):
         bins.weighted_qcut(df, "k", "n")
+
+
+@pytest.mark.parametrize("q", [6, 7, 9, 49])
+def test_equal_weights_fall_between_the_true_edges(spark, q):
+    n = 490
+    pdf = pd.DataFrame({"k": range(n + 1), "n": [0] + [1] * n})
+    share = pdf["n"].cumsum() / n
+    expected = pd.cut(share, np.linspace(0, 1, q + 1), labels=False)
+    got = bins.weighted_qcut(spark.createDataFrame(pdf), "k", "n", q).orderBy("k").collect()
+    assert [r.partition_index for r in got] == [None if pd.isna(x) else int(x) for x in expected]
+
+
+@pytest.mark.parametrize("k", [3, 7, 8, 100])
+def test_percentiles_make_as_many_groups_as_asked(spark, k):
+    rows = spark.range(1, 101).select(bins.quantile_of_percentile(F.col("id"), k).alias("g"))
+    assert sorted(r.g for r in rows.distinct().collect()) == list(range(1, k + 1))

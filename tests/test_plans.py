@@ -288,3 +288,6 @@ def test_county_index_is_balanced(frame):
     assert final[("01001", 2010)].hpi_index_2021 == pytest.approx(121 / 110, rel=1e-2)
     assert final[("01001", 2021)].hpi_index_2021 == 1.0 and final[("01003", 2021)].hpi_index_2021 == 1.0
     assert final[("01003", 2005)].hpi_index_2021 == pytest.approx(321 / 305)
+    # a last year that the county file already holds is not added again
+    inside = dimensions.index_levels(counties, county, metro, nonmetro, state, last_year=2022)
+    assert inside.count() == 2 * 23 == inside.select("county_fips", "year").distinct().count()

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millgauge.operators.heavy import attach, heavy_groups, slice_heavy
-from millgauge.operators.quantiles import exact_quantiles
+from millgauge.operators.quantiles import exact_quantiles, exact_quantiles_sorted, median_ci
 from millgauge.operators.ranks import global_rank, percentile_rank
+from millgauge.operators.recency import recency_ranks
 
 SF = "/root/testdata/sf0.01"
 HOT = 500
@@ -62,7 +63,26 @@ def test_results_equal_the_plain_ones(skewed):
     plain = {r.key: r.price for r in exact_quantiles(skewed, ["key"], probs).collect()}
     heavy = {r.key: r.price for r in exact_quantiles(skewed, ["key"], probs, HOT).collect()}
     assert plain.keys() == heavy.keys()
-    assert all(plain[k] == pytest.approx(heavy[k], rel=1e-14) for k in plain)
+    assert plain == heavy
+
+
+def test_groups_without_values_have_a_row_at_every_size(frame):
+    rows = [(k, g, float(k) if g != "b" else None) for k in range(60) for g in "abc"]
+    df = frame(rows, "id int, g string, v double")
+    for hot in (1000, 10):
+        found = {r.g: r.v for r in exact_quantiles(df, ["g"], {"v": [0.5]}, hot).collect()}
+        assert found.keys() == set("abc") and found["a"] == [29.5] and not found["b"] or found["b"] == [None]
+        assert exact_quantiles_sorted(df, ["g"], "v", [0.5], hot).count() == 3
+        assert median_ci(df, ["g"], "v", hot_rows=hot).count() == 3
+
+
+def test_recency_at_full_precision_and_in_any_period(frame):
+    rows = [(1, k, f"2020-01-01 0{k % 7}:00:00", k % 2) for k in range(20)]
+    df = frame(rows, "e int, id int, t string, p int").withColumn("t", F.to_timestamp("t"))
+    plain = sorted(recency_ranks(df, "e", "p", "t", "id").collect())
+    assert plain == sorted(recency_ranks(df, "e", "p", "t", "id", hot_rows=3).select(*df.columns, "RecentSaleByYear", "MostRecentSale").collect())
+    newest = max(rows, key=lambda r: (r[2], -r[1]))
+    assert next(r.id for r in plain if r.MostRecentSale == 1) == newest[1]
 
 
 def test_heavy_plan_never_groups_rows_by_the_hot_key_alone(skewed):

@@ -49,6 +49,30 @@ def recency_rank_heavy(spark, d):
     return _recency(spark, d, hot_rows=10)
 
 
+STAMPED_SQL = """WITH stamped AS (SELECT *, CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS BIGINT)) AS seen,
+  o_orderkey % 3 AS batch FROM orders)
+SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey, batch ORDER BY seen DESC, o_orderkey) AS INTEGER) AS in_batch,
+  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY seen DESC, o_orderkey) AS INTEGER) AS over_all FROM stamped"""
+
+
+def _stamped(spark, d, **options):
+    seen = F.to_timestamp("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    orders = table(spark, d, "orders").withColumns({"seen": seen, "batch": F.col("o_orderkey") % 3})
+    ranked = recency_ranks(orders, "o_custkey", "batch", "seen", "o_orderkey", "in_batch", "over_all", **options)
+    return ranked.select("o_orderkey", "in_batch", "over_all")
+
+
+@case("recency_rank_timestamp", STAMPED_SQL)
+def recency_rank_timestamp(spark, d):
+    """Ranks by time of day, inside periods that do not follow from the time."""
+    return _stamped(spark, d)
+
+
+@case("recency_rank_timestamp_heavy", STAMPED_SQL)
+def recency_rank_timestamp_heavy(spark, d):
+    return _stamped(spark, d, hot_rows=5)
+
+
 @case(
     "recency_rank_undated",
     """SELECT o_orderkey, CASE WHEN day IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY o_custkey
@@ -315,7 +339,7 @@ def _tracts(spark, d):
 @case(
     "weighted_qcut",
     f"""WITH {WEIGHTS_SQL}
-    SELECT tract, n, CAST(ceil(CAST(upto AS DOUBLE) / total * 7) AS INTEGER) - 1 AS partition_index FROM run""",
+    SELECT tract, n, (SELECT CAST(max(k) AS INTEGER) FROM range(0, 7) e(k) WHERE k * (1.0::DOUBLE / 7) < CAST(upto AS DOUBLE) / total) AS partition_index FROM run""",
 )
 def weighted_qcut(spark, d):
     return bins.weighted_qcut(_tracts(spark, d), "tract", "n", 7)
@@ -324,7 +348,7 @@ def weighted_qcut(spark, d):
 @case(
     "weighted_qcut_heavy",
     f"""WITH {WEIGHTS_SQL}
-    SELECT tract, n, CAST(ceil(CAST(upto AS DOUBLE) / total * 7) AS INTEGER) - 1 AS partition_index FROM run""",
+    SELECT tract, n, (SELECT CAST(max(k) AS INTEGER) FROM range(0, 7) e(k) WHERE k * (1.0::DOUBLE / 7) < CAST(upto AS DOUBLE) / total) AS partition_index FROM run""",
 )
 def weighted_qcut_heavy(spark, d):
     return bins.weighted_qcut(_tracts(spark, d), "tract", "n", 7, hot_rows=60)
@@ -343,7 +367,7 @@ def weighted_cut_breaks(spark, d):
 @case(
     "chunk_plan",
     f"""WITH {WEIGHTS_SQL}, p AS (
-      SELECT tract, n, CAST(ceil(CAST(upto AS DOUBLE) / total * ceil(total / 500.0)) AS INTEGER) - 1 AS partition_index FROM run)
+      SELECT tract, n, (SELECT CAST(max(k) AS INTEGER) FROM range(0, 100000) e(k) WHERE k < ceil(total / 500.0) AND k * (1.0::DOUBLE / ceil(total / 500.0)) < CAST(upto AS DOUBLE) / total) AS partition_index FROM run)
     SELECT partition_index, count(*) AS tracts, min(tract) AS first_tract, max(tract) AS last_tract FROM p GROUP BY 1""",
 )
 def chunk_plan(spark, d):

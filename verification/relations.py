@@ -224,14 +224,13 @@ def fallback(spark, d):
     "summary_spine_join",
     """WITH a AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1),
       b AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1),
-      c AS (SELECT c_nationkey AS k, count(*) AS orders_1998 FROM orders JOIN customer ON o_custkey = c_custkey
-        WHERE year(o_orderdate) = 1998 GROUP BY 1)
-    SELECT n_name, customers, suppliers, orders_1998 FROM nation
+      c AS (SELECT c_nationkey AS k, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+    SELECT n_name, customers, suppliers, orders FROM nation
     LEFT JOIN a ON a.k = n_nationkey LEFT JOIN b ON b.k = n_nationkey LEFT JOIN c ON c.k = n_nationkey""",
 )
 def summary_spine(spark, d):
     customer = table(spark, d, "customer")
-    orders = table(spark, d, "orders").where(F.year("o_orderdate") == 1998)
+    orders = table(spark, d, "orders")
     count = lambda name: F.count(F.lit(1)).alias(name)
     sold = equi_join(orders, customer.select("c_custkey", "c_nationkey"), {"o_custkey": "c_custkey"})
     return spine_join(
@@ -242,9 +241,9 @@ def summary_spine(spark, d):
                 table(spark, d, "supplier").groupBy("s_nationkey").agg(count("suppliers")),
                 {"n_nationkey": "s_nationkey"},
             ),
-            (sold.groupBy("c_nationkey").agg(count("orders_1998")), {"n_nationkey": "c_nationkey"}),
+            (sold.groupBy("c_nationkey").agg(count("orders")), {"n_nationkey": "c_nationkey"}),
         ],
-    ).select("n_name", "customers", "suppliers", "orders_1998")
+    ).select("n_name", "customers", "suppliers", "orders")
 
 
 @case(
@@ -304,12 +303,16 @@ SPARSE = """sparse AS (
   WHERE (c_nationkey + year(o_orderdate)) % 3 <> 0 GROUP BY 1, 2)"""
 
 
-def sparse(spark, d):
+WHOLE = SPARSE.replace("sparse AS", "whole AS").replace("WHERE (c_nationkey + year(o_orderdate)) % 3 <> 0 ", "")
+
+
+def sparse(spark, d, gaps=True):
+    """Orders per nation and year; with gaps, a third of the cells is missing, to be completed or filled."""
     customer = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     joined = equi_join(table(spark, d, "orders"), customer, {"o_custkey": "c_custkey"})
     year = F.year("o_orderdate")
     return (
-        joined.where((F.col("c_nationkey") + year) % 3 != 0)
+        joined.where(((F.col("c_nationkey") + year) % 3 != 0) | F.lit(not gaps))
         .groupBy(F.col("c_nationkey").alias("nation"), year.alias("sale_year"))
         .agg(
             F.count(F.lit(1)).alias("sales"),
@@ -352,13 +355,13 @@ def balanced_check(spark, d):
 
 @case(
     "unpivot_long",
-    f"""WITH {SPARSE}
-    SELECT nation, sale_year, 'sales' AS measure, sales AS amount FROM sparse
-    UNION ALL SELECT nation, sale_year, 'total', total FROM sparse""",
+    f"""WITH {WHOLE}
+    SELECT nation, sale_year, 'sales' AS measure, sales AS amount FROM whole
+    UNION ALL SELECT nation, sale_year, 'total', total FROM whole""",
 )
 def unpivot_long(spark, d):
     return to_long(
-        sparse(spark, d), ["nation", "sale_year"], ["sales", "total"], "measure", "amount"
+        sparse(spark, d, gaps=False), ["nation", "sale_year"], ["sales", "total"], "measure", "amount"
     )
 
 
@@ -381,13 +384,13 @@ def pivot_one(spark, d):
 
 @case(
     "pivot_multi",
-    f"""WITH {SPARSE}
-    SELECT nation, {", ".join(f'max(CASE WHEN sale_year = {y} THEN sales END) AS sales_{y}, max(CASE WHEN sale_year = {y} THEN total END) AS total_{y}' for y in (1996, 1997, 1998))}
-    FROM sparse GROUP BY 1""",
+    f"""WITH {WHOLE}
+    SELECT nation, {", ".join(f'max(CASE WHEN sale_year = {y} THEN sales END) AS sales_{y}, max(CASE WHEN sale_year = {y} THEN total END) AS total_{y}' for y in range(1995, 2002))}
+    FROM whole GROUP BY 1""",
 )
 def pivot_many(spark, d):
     return pivot_multi(
-        sparse(spark, d), ["nation"], "sale_year", ["sales", "total"], [1996, 1997, 1998]
+        sparse(spark, d, gaps=False), ["nation"], "sale_year", ["sales", "total"], list(range(1995, 2002))
     )
 
 

@@ -58,6 +58,30 @@ def exact_quantiles_heavy(spark, d):
     return _quantiles(spark, d, hot_rows=100)
 
 
+NULL_QUANTILE_SQL = f"""WITH {PRICES}
+SELECT nation, round(quantile_cont(CASE WHEN nation % 5 <> 0 AND o_orderkey % 3 <> 0 THEN price END, 0.3), 4) AS p30
+FROM prices GROUP BY 1"""
+
+
+def _null_quantiles(spark, d, **options):
+    gaps = prices(spark, d).withColumn(
+        "price", F.when((F.col("nation") % 5 != 0) & (F.col("o_orderkey") % 3 != 0), F.col("price"))
+    )
+    found = q.exact_quantiles(gaps, ["nation"], {"price": [0.3]}, **options)
+    return found.select("nation", F.round(F.col("price")[0], 4).alias("p30"))
+
+
+@case("exact_quantiles_nulls", NULL_QUANTILE_SQL)
+def exact_quantiles_nulls(spark, d):
+    """Groups with gaps, and groups without any value, which still have a row."""
+    return _null_quantiles(spark, d)
+
+
+@case("exact_quantiles_nulls_heavy", NULL_QUANTILE_SQL)
+def exact_quantiles_nulls_heavy(spark, d):
+    return _null_quantiles(spark, d, hot_rows=100)
+
+
 @case(
     "exact_quantiles_sorted",
     f"""WITH {PRICES}
