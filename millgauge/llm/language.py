@@ -56,9 +56,12 @@ def code_lengths(counts: np.ndarray, rare_kinds: int) -> np.ndarray:
 
 def trees(labelled: DataFrame, train_rows: int) -> tuple[DataFrame, np.ndarray]:
     """(lang, table) for every language of (lang, text, pick), and the code of each byte."""
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
-    share = (F.lit(float(train_rows)) / F.col("rows") * 1_000_000).cast("long")
-    chosen = labelled.join(sizes, "lang").where(F.pmod("pick", F.lit(1_000_000)) < share)
+    # Only languages with more rows than that, so there are few; a join would move every text.
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).where(F.col("rows") > train_rows).collect()
+    share = F.lit(1_000_000)
+    for r in sizes:
+        share = F.when(F.col("lang") == r.lang, int(1_000_000 * train_rows / r.rows)).otherwise(share)
+    chosen = labelled.where(F.pmod("pick", F.lit(1_000_000)) < share)
     sample = cut_lineage(chosen.select("lang", "text"), "sample")
 
     def bytes_seen(batches):
