@@ -108,6 +108,8 @@ def dedup_lines(
         .groupBy("t1", "t2")
         .agg(F.collect_list(F.struct("places", "first")).alias("gone"))
     )
+    # Written, so that the join below has a shuffle of its own, which Spark can split at a text with many copies.
+    gone = cut_lineage(gone, "gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc, *hashes(text, "t1", "t2"), F.split(text, "\n", -1).alias("lines"))
     met = rows.join(gone, ["t1", "t2"], "left")
     lost = F.col("gone")
