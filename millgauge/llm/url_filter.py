@@ -2,7 +2,8 @@
 
 Each host has a tree of path segments. From the top down, a segment is a branch if enough addresses share
 it; all other siblings are one wildcard branch. Branches in the order of their share of good labels are
-merged with their neighbour unless the two differ by more than chance (a two-proportion test). A branch
+merged into groups: one joins the group before it unless it differs by more than chance (a two-proportion
+test) from the group as a whole, its first or its largest branch. A branch
 merged with the wildcard is part of it, others are named by their segments. An address belongs to the
 template that its segments lead to. The purity of a template is the share of good labels, smoothed towards its host and that
 towards the whole; templates under the limit are rejected.
@@ -15,7 +16,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millgauge.sources.staged import cut_lineage
 
@@ -47,6 +49,42 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return name, verdict
 
 
+def like(good: int, bad: int, other_good: int, other_bad: int) -> bool:
+    """Do two shares of good labels differ by no more than chance?"""
+    n, m = good + bad, other_good + other_bad
+    pooled, gap = (good + other_good) / (n + m), good / n - other_good / m
+    return gap * gap <= DEVIATIONS**2 * pooled * (1 - pooled) * (1 / n + 1 / m)
+
+
+def groups(counts: DataFrame) -> DataFrame:
+    """(host, template, good, bad, group) of (host, template, good, bad, k): k branches of a node with these labels.
+
+    From the lowest share upwards, a branch joins the group if it is like all that the group has so far, like
+    its first and like its largest branch; else it begins the next group. Branches with equal labels are one
+    row, so a node with L labels has fewer than (3 L) ** (2 / 3) rows, which are read one after the other.
+    """
+
+    def fold(batches):
+        node = group = first = largest = pool = None
+        for batch in batches:
+            found = []
+            for host, template, good, bad, k in zip(*(c.to_pylist() for c in batch.columns)):
+                own, fresh = (good, bad), (host, template) != node
+                if not fresh and all(like(*own, *other) for other in (pool, first, largest)):
+                    pool = (pool[0] + k * good, pool[1] + k * bad)
+                    largest = max(largest, own, key=sum)
+                else:
+                    group = 0 if fresh else group + 1
+                    node, first, largest, pool = (host, template), own, own, (k * good, k * bad)
+                found.append(group)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.int64())], names=["host", "template", "good", "bad", "group"])
+
+    total = F.col("good") + F.col("bad")
+    line = counts.select("host", "template", "good", "bad", "k").repartition("host", "template")
+    line = line.sortWithinPartitions("host", "template", F.col("good") / total, total)
+    return line.mapInArrow(fold, "host string, template string, good long, bad long, group long")
+
+
 def branches(children: DataFrame, support: int, part: float) -> DataFrame:
     """(host, template, segment, name) of the segments that are not in the wildcard branch of their node."""
     node, labelled = ["host", "template"], F.col("good") + F.col("bad") > 0
@@ -55,20 +93,13 @@ def branches(children: DataFrame, support: int, part: float) -> DataFrame:
         "branch", F.when((F.col("n") >= support) & (F.col("n") >= F.col("all") * part) & labelled, F.col("segment"))
     )
     merged = joined.groupBy(*node, "branch").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where(labelled)
-    total = F.col("good") + F.col("bad")
-    line = Window.partitionBy(*node).orderBy(F.col("good") / total, "branch")
-    good, bad = F.lag("good").over(line), F.lag("bad").over(line)
-    pooled = (F.col("good") + good) / (total + good + bad)
-    gap = F.col("good") / total - good / (good + bad)
-    unlike = gap * gap > DEVIATIONS**2 * pooled * (1 - pooled) * (1 / total + 1 / (good + bad))
-    groups = merged.withColumn("unlike", unlike).withColumn(
-        "group", F.sum(F.coalesce("unlike", F.lit(False)).cast("int")).over(line)
-    )
-    members = groups.groupBy(*node, "group").agg(
+    counts = merged.groupBy(*node, "good", "bad").agg(F.count("*").alias("k"))
+    members = cut_lineage(merged.join(groups(counts), [*node, "good", "bad"]).select(*node, "group", "branch"), "members")
+    named = members.groupBy(*node, "group").agg(
         F.sort_array(F.collect_list("branch")).alias("segments"), F.count_if(F.col("branch").isNull()).alias("wild")
     ).where("wild = 0")
     name = F.when(F.size("segments") == 1, F.col("segments")[0]).otherwise(F.concat(F.lit("{"), F.array_join("segments", "|"), F.lit("}")))
-    return members.select(*node, F.explode("segments").alias("segment"), name.alias("name"))
+    return named.select(*node, F.explode("segments").alias("segment"), name.alias("name"))
 
 
 def templates(paths: DataFrame, depth: int = DEPTH, support: int = SUPPORT, part: float = PART) -> DataFrame:

@@ -79,3 +79,31 @@ def test_purity_is_smoothed_towards_host_and_whole(frame):
     assert found[0].verdict == "allow"
     keyed = judge(frame(rows, PAGES), frame(labels, LABELS), [], key=F.when(F.col("host") == "bad.net", 0).cast("long"))
     assert {r.verdict for r in keyed.collect()} == {"allow"}
+
+
+def test_small_branches_do_not_chain_large_unlike_ones(frame):
+    shares = [(500, 9500), (2, 18), (5, 15), (9, 11), (14, 6), (18, 2), (9500, 500)]
+    rows = [("h", f"/s{k}/x", 10_000, good, bad) for k, (good, bad) in enumerate(shares)]
+    # The second host has a wildcard (rare segments) between the small branches.
+    rows += [("w", *r[1:]) for r in rows] + [("w", f"/rare{k}/x", 1, int(k < 9), int(k >= 9)) for k in range(20)]
+    found = {(r.host, r.path): r for r in templates(frame(rows, "host string, path string, n long, good long, bad long")).collect()}
+    assert len(found) == len(rows)
+    for host in "hw":
+        low, high = found[host, "/s0/x"].template, found[host, "/s6/x"].template
+        assert low != high and not low.startswith("/*/") and not high.startswith("/*/")
+    assert found["w", "/rare0/x"].template == "/*/x"
+    assert len({r.template for r in found.values() if r.host == "h"}) == 4
+
+
+def test_a_group_holds_no_two_large_branches_that_differ(frame):
+    draw = random.Random(7)
+    rows = []
+    for k in range(60):
+        total = draw.choice((20, 30, 200, 20_000))
+        good = draw.randint(0, total)
+        rows.append(("h", f"/{k}/x", 1000, good, total - good))
+    groups = {}
+    for r in templates(frame(rows, "host string, path string, n long, good long, bad long"), support=1).collect():
+        if r.good + r.bad == 20_000:
+            groups.setdefault(r.template, []).append(r.good / 20_000)
+    assert len(groups) > 5 and all(max(g) - min(g) < 0.05 for g in groups.values())
