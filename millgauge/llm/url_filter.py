@@ -4,17 +4,20 @@ Each host has a tree of path segments. From the top down, a segment is a branch
 it; all other siblings are one wildcard branch. Branches in the order of their share of good labels are
 merged into groups: one joins the group before it unless it differs by more than chance (a two-proportion
 test) from the group as a whole, its first or its largest branch. A branch
-merged with the wildcard is part of it, others are named by their segments. An address belongs to the
+merged with the wildcard is part of it, others are named by their first and last segment. An address belongs to the
 template that its segments lead to. The purity of a template is the share of good labels, smoothed towards its host and that
 towards the whole; templates under the limit are rejected.
 
-Addresses are counted once per host and path before the tree is built, and a level takes one aggregation
-and one join with the few named segments (at most 1 / PART below a node), so a host with a third of all pages is no special case.
+Addresses are counted once per host and path before the tree is built. A level takes one aggregation and
+joins with the named segments and with the nodes that can have any, of which no list is held anywhere, so a
+host with a third of all pages is no special case. Levels go on until no path has a further segment below a
+node with enough addresses and a label.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,10 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millgauge.sources.staged import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Segments that have levels of their own; what lies deeper is one last wildcard.
-DEPTH = 12
-#: Addresses and share of its siblings that a branch needs, and the test's limit in deviations.
-SUPPORT, PART, DEVIATIONS = 20, 0.01, 1.96
+#: Addresses that a branch needs, and the test's limit in deviations.
+SUPPORT, DEVIATIONS = 20, 1.96
 #: Labels that the purity of the next larger set counts for, and the least accepted purity.
 STRENGTH, PURITY = 10.0, 0.5
 
@@ -85,43 +86,50 @@ def groups(counts: DataFrame) -> DataFrame:
     return line.mapInArrow(fold, "host string, template string, good long, bad long, group long")
 
 
-def branches(children: DataFrame, support: int, part: float) -> DataFrame:
+def branches(children: DataFrame, support: int) -> DataFrame:
     """(host, template, segment, name) of the segments that are not in the wildcard branch of their node."""
     node, labelled = ["host", "template"], F.col("good") + F.col("bad") > 0
-    whole = children.groupBy(*node).agg(F.sum("n").alias("all"))
-    joined = children.join(whole, node).withColumn(
-        "branch", F.when((F.col("n") >= support) & (F.col("n") >= F.col("all") * part) & labelled, F.col("segment"))
-    )
-    merged = joined.groupBy(*node, "branch").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where(labelled)
+    named = children.withColumn("branch", F.when((F.col("n") >= support) & labelled, F.col("segment")))
+    merged = named.groupBy(*node, "branch").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where(labelled)
     counts = merged.groupBy(*node, "good", "bad").agg(F.count("*").alias("k"))
     members = cut_lineage(merged.join(groups(counts), [*node, "good", "bad"]).select(*node, "group", "branch"), "members")
-    named = members.groupBy(*node, "group").agg(
-        F.sort_array(F.collect_list("branch")).alias("segments"), F.count_if(F.col("branch").isNull()).alias("wild")
-    ).where("wild = 0")
-    name = F.when(F.size("segments") == 1, F.col("segments")[0]).otherwise(F.concat(F.lit("{"), F.array_join("segments", "|"), F.lit("}")))
-    return named.select(*node, F.explode("segments").alias("segment"), name.alias("name"))
+    least, most, size = F.min("branch"), F.max("branch"), F.count("*")
+    between = F.when(size > 2, F.concat(F.lit("|.."), size - 2, F.lit(".."))).otherwise("")
+    name = F.when(size == 1, least).otherwise(F.concat(F.lit("{"), least, between, F.lit("|"), most, F.lit("}")))
+    names = members.groupBy(*node, "group").agg(name.alias("name"), F.count_if(F.col("branch").isNull()).alias("wild"))
+    found = members.join(names.where("wild = 0"), [*node, "group"])
+    return found.select(*node, F.col("branch").alias("segment"), "name")
+
 
+def templates(paths: DataFrame, depth: int | None = None, support: int = SUPPORT) -> DataFrame:
+    """(host, path, n, good, bad) with the template of each path.
 
-def templates(paths: DataFrame, depth: int = DEPTH, support: int = SUPPORT, part: float = PART) -> DataFrame:
-    """(host, path, n, good, bad) with the template of each path."""
+    With ``depth`` what lies below that many segments is one last wildcard; else every segment counts.
+    """
     state = paths.withColumn("segments", F.slice(F.split("path", "/"), 2, 1 << 30)).withColumn("template", F.lit(""))
-    for level in range(depth):
-        segment = F.get("segments", F.lit(level))
-        deeper = state.where(segment.isNotNull()).withColumn("segment", segment)
+    size = F.size("segments")
+    last = size if depth is None else F.least(size, F.lit(depth))
+    tail = F.lit("") if depth is None else F.when(size > depth, "/**").otherwise("")
+    columns = ["host", "path", "n", "good", "bad"]
+    done, level = [state.where(last == 0).select(*columns, tail.alias("template"))], 0
+    active = state.where(last > 0)
+    while not active.isEmpty():
+        active = active.withColumn("segment", F.get("segments", F.lit(level)))
         children = cut_lineage(
-            deeper.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")),
+            active.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")),
             "children",
         )
-        if children.isEmpty():
-            break
-        joined = state.withColumn("segment", segment).join(branches(children, support, part), ["host", "template", "segment"], "left")
-        step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.coalesce("name", F.lit("*"))))
-        state = cut_lineage(
-            joined.withColumn("template", F.concat("template", step)).select("host", "path", "n", "good", "bad", "segments", "template"),
-            "level",
-        )
-    tail = F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return state.select("host", "path", "n", "good", "bad", tail.alias("template"))
+        # Below other nodes no segment can be a branch, at any depth, so the rest of their paths is known.
+        nodes = children.groupBy("host", "template").agg(F.sum("n").alias("all"), F.sum(F.col("good") + F.col("bad")).alias("labels"))
+        nodes = nodes.where((F.col("all") >= support) & (F.col("labels") > 0)).select("host", "template", F.lit(True).alias("open"))
+        joined = active.join(branches(children, support), ["host", "template", "segment"], "left").join(nodes, ["host", "template"], "left")
+        step = F.when(F.col("open"), F.concat(F.lit("/"), F.coalesce("name", F.lit("*")))).otherwise(F.repeat(F.lit("/*"), last - level))
+        ends = F.col("open").isNull() | (last == level + 1)
+        stepped = joined.select(*columns, "segments", F.concat("template", step).alias("template"), ends.alias("ends"))
+        state = cut_lineage(stepped, "level")
+        done.append(state.where("ends").select(*columns, F.concat("template", tail).alias("template")))
+        active, level = state.where("not ends").drop("ends"), level + 1
+    return reduce(DataFrame.unionByName, done)
 
 
 def judge(

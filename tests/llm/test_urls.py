@@ -107,3 +107,27 @@ def test_a_group_holds_no_two_large_branches_that_differ(frame):
         if r.good + r.bad == 20_000:
             groups.setdefault(r.template, []).append(r.good / 20_000)
     assert len(groups) > 5 and all(max(g) - min(g) < 0.05 for g in groups.values())
+
+
+COUNTED = "host string, path string, n long, good long, bad long"
+
+
+def test_every_section_with_support_has_a_template_however_large_its_host(frame):
+    # 200 equal sections of half a per cent each, one of them bad, and the same sections on a host that has 21.
+    rows = [("hot", f"/s{k}/x", 90_000, 0 if k == 77 else 300, 300 if k == 77 else 0) for k in range(200)]
+    rows += [("small", *r[1:]) for r in rows[60:81]]
+    found = {(r.host, r.path): r.template for r in templates(frame(rows, COUNTED)).collect()}
+    assert len(found) == len(rows)
+    for host in ("hot", "small"):
+        assert [p for (h, p), t in found.items() if (h, t) == (host, found[host, "/s77/x"])] == ["/s77/x"]
+    assert found["hot", "/s77/x"] == found["small", "/s77/x"]
+
+
+def test_levels_go_on_below_the_twelfth(frame):
+    top = "/a" * 14
+    rows = [("h", f"{top}/{'bad' if k % 2 else 'good'}/{k}", 1, int(k % 2 == 0), k % 2) for k in range(200)]
+    rows += [("h", "/long" * 300, 1, 0, 0), ("h", "", 50, 1, 1), ("h", "/", 1, 0, 0)]
+    found = {r.path: r.template for r in templates(frame(rows, COUNTED)).collect()}
+    assert len(found) == len(rows)
+    assert {found[r[1]] for r in rows[:200]} == {f"{top}/bad/*", f"{top}/good/*"}
+    assert found["/long" * 300] == "/*" * 300 and found[""] == "" and found["/"] == "/*"
