@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Mapping
 
 import numpy as np
@@ -49,7 +50,9 @@ class Words(dict):
 
 
 class Encoder:
-    """Token ids of texts by a tokenizer file, without special tokens.
+    """Token ids of texts by a tokenizer file, without the special tokens that it would add to a text.
+
+    The file's added tokens that stand in a text are ids of their own, as in the tokenizer.
 
     A byte-level tokenizer never joins a space between two other visible characters to what stands before
     it, so a text is cut there and the ids of a word are remembered. With the plain vocabulary (ids in the
@@ -67,15 +70,19 @@ class Encoder:
         plain = plain and model["type"] == "BPE" and not spec.get("normalizer") and not model.get("ignore_merges")
         merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])] if plain else []
         plain = plain and all(model["vocab"].get(a + b) == 256 + k for k, (a, b) in enumerate(merges))
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t["content"]}
+        plain = plain and not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
+        self.cut, self.added = None, {}
         if plain:
             back = self.byte_of()
-            special = {t["content"] for t in spec.get("added_tokens", [])}
-            ranks = {bytes(back[c] for c in t): n for t, n in model["vocab"].items() if t not in special}
+            if added:
+                self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+                self.added = {t: np.array([n], "<u4").tobytes() for t, n in added.items()}
+            ranks = {bytes(back[c] for c in t): n for t, n in model["vocab"].items() if t not in added}
             own = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
             self.ids = lambda text: np.array(own.encode_ordinary(text), "<u4").tobytes()
         else:
             whole = Tokenizer.from_str(file)
-            whole.encode_special_tokens = True
             self.ids = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self.words = Words(self.ids) if plain else None
 
@@ -89,6 +96,12 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if self.words is None:
             return self.ids(text)
+        if self.cut is None or not self.cut.search(text):
+            return self.piece(text)
+        return b"".join(self.added[t] if k % 2 else self.piece(t) for k, t in enumerate(self.cut.split(text)))
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a text that holds no added token."""
         first, *rest = text.split(" ")
         if rest and first and first[-1].isspace():
             return self.ids(text)

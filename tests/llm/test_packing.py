@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import defaultdict
 
@@ -126,3 +127,34 @@ def test_empty_table_and_checksum(spark, frame):
     assert one == zlib.crc32(np.array([64, 1], "<u4").tobytes())
     with pytest.raises(ValueError):
         pack(frame([], DOCS), FILE, window=8, packet=9)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "<", "|>", "a", "b", " ", "  ", "\n", "'s", "é", "1"]), max_size=12).map("".join))
+def test_added_tokens_in_a_text_are_ids_of_their_own(text):
+    t = test_added_tokens_in_a_text_are_ids_of_their_own
+    if not hasattr(t, "both"):
+        t.both = Encoder(open(FILE, encoding="utf-8").read()), Tokenizer.from_file(FILE)
+    own, tokens = t.both
+    assert list(np.frombuffer(own(text), "<u4")) == tokens.encode(text, add_special_tokens=False).ids
+    assert list(np.frombuffer(own("a <|endoftext|> b"), "<u4")) == [64, 220, 50256, 275]
+
+
+def test_added_tokens_of_other_tokenizers():
+    file = str(public_tokenizers.path("word_bpe_49k.json"))
+    own, text = Encoder(open(file, encoding="utf-8").read()), "a <|endoftext|> b<|startoftext|>"
+    ids = Tokenizer.from_file(file).encode(text, add_special_tokens=False).ids
+    assert 49407 in ids and list(np.frombuffer(own(text), "<u4")) == ids
+
+
+def test_added_tokens_with_rules_are_left_to_the_tokenizer():
+    spec = json.load(open(FILE, encoding="utf-8"))
+    spec["added_tokens"][0]["lstrip"] = True
+    own, tokens = Encoder(json.dumps(spec)), Tokenizer.from_str(json.dumps(spec))
+    for text in ("a  <|endoftext|> b", "<|endoftext|>", "a b"):
+        assert list(np.frombuffer(own(text), "<u4")) == tokens.encode(text, add_special_tokens=False).ids
+
+
+def test_packed_documents_hold_added_tokens(frame):
+    found = pack(frame([(1, "a <|endoftext|> b", "s", 0, "x")], DOCS), FILE).collect()
+    assert [(list(np.frombuffer(bytes(r.ids), "<u4")), r.doc_tokens) for r in found] == [([64, 220, 50256, 275, 1], 5)]
