@@ -176,7 +176,7 @@ def pack(
     ``row`` tells rows of ``docs`` apart that share an id.
     A document is the ids of its text and the id ``end``. ``proportions`` are the target shares of the
     sources, each above 0; without them they are the shares of the sources in the tokens, so that all
-    queues end together. When a queue is empty the others go on in their proportions. Defined results:
+    queues end together, and a source of ``docs`` that they leave out (null included) is an error. When a queue is empty the others go on in their proportions. Defined results:
     null and empty texts are the end id alone; null is a source like any other; a null id is kept as it
     is; repeated rows are packed as often as they occur; an empty table gives an empty table; other
     columns are ignored.
@@ -188,6 +188,9 @@ def pack(
     sizes = narrow.groupBy("source").agg(F.sum("n").alias("share"))
     count, total = narrow.agg(F.count("*"), F.sum("n")).first()
     if proportions is not None:
+        missing = sorted((str(r.source) for r in sizes.collect() if r.source not in proportions))
+        if missing:
+            raise ValueError(f"sources without a proportion: {', '.join(missing)}")
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in proportions.items()], "source string, share double")
         sizes, total = given, sum(proportions.values())
     quanta = sizes.select("source", (F.col("share") / F.lit(float(total or 1)) * window).alias("quantum"))

@@ -158,3 +158,12 @@ def test_added_tokens_with_rules_are_left_to_the_tokenizer():
 def test_packed_documents_hold_added_tokens(frame):
     found = pack(frame([(1, "a <|endoftext|> b", "s", 0, "x")], DOCS), FILE).collect()
     assert [(list(np.frombuffer(bytes(r.ids), "<u4")), r.doc_tokens) for r in found] == [([64, 220, 50256, 275, 1], 5)]
+
+
+def test_a_source_without_a_proportion_is_an_error(frame):
+    docs = frame([(k, "some words", ["a", "b", None][k % 3], 0, "x") for k in range(9)], DOCS)
+    for given in ({"a": 1.0, "b": 1.0}, {"a": 1.0, None: 2.0}):
+        with pytest.raises(ValueError, match="without a proportion"):
+            pack(docs, FILE, proportions=given)
+    whole = pack(docs, FILE, proportions={"a": 1.0, "b": 1.0, None: 2.0, "unused": 1.0})
+    assert {r.doc_id for r in whole.collect()} == set(range(9))
