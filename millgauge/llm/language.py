@@ -1,14 +1,14 @@
 """Language identification by prediction by partial matching.
 
-Every language has a context tree of bytes: how often a byte followed the two, one or no bytes before it.
+Every language has a context tree of bytes: how often a byte followed the ORDER, .. one or no bytes before it.
 A byte that a context has not shown costs an escape, with the chance t / (n + t) after n bytes of t kinds,
-and is then coded in the next shorter context. The statistics are frozen after training, so the code
-length of a byte depends on the three bytes at its place alone, and a tree becomes one table of exact code
-lengths. A text belongs to the language that codes it shortest.
+and is then coded in the next shorter context, at last among all 256 values. The statistics are frozen after
+training, so the code length of a byte depends on the ORDER + 1 bytes at its place alone. A text belongs to
+the language that codes it shortest.
 
-Bytes are coded in two steps: as one of ALPHABET - 1 frequent bytes or as rare, and a rare one among the
-rest at equal chances. A table therefore has ALPHABET ** 3 numbers, whatever the data. Tables lie in the
-shared folder and are scored LANGUAGES at a time, so any number of languages fits in memory.
+Trees are sparse: Spark sums the counts per language and run of ORDER + 1 bytes, and a language is two sorted
+tables, of the code lengths of bytes in contexts and of the escapes of contexts. Distinct runs are looked up
+once per batch of texts. Languages are scored in passes of bounded size, so any number fits in memory.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame, functions as F
 from millgauge.llm.words import runs, text_bytes
 from millgauge.sources.staged import cut_lineage
 
+#: Bytes of the longest context.
+ORDER = 4
+#: Languages scored in one pass over the texts, and the bytes of their tables unless one has more.
+LANGUAGES, PASS_BYTES = 32, 128 << 20
+#: Symbols of the dense table of order 2.
 ALPHABET = 64
-#: Languages scored in one pass over the texts.
-LANGUAGES = 32
 #: Labelled texts of a language that train its tree, at most about this many, chosen by a hash.
 TRAIN_ROWS = 20_000
 RARE = ALPHABET - 1
@@ -54,15 +57,96 @@ def code_lengths(counts: np.ndarray, rare_kinds: int) -> np.ndarray:
     return bits.astype(np.float32).ravel()
 
 
-def trees(labelled: DataFrame, train_rows: int) -> tuple[DataFrame, np.ndarray]:
-    """(lang, table) for every language of (lang, text, pick), and the code of each byte."""
+def sampled(labelled: DataFrame, train_rows: int) -> DataFrame:
+    """(lang, text) of about ``train_rows`` rows of every language of (lang, text, pick)."""
     # Only languages with more rows than that, so there are few; a join would move every text.
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).where(F.col("rows") > train_rows).collect()
     share = F.lit(1_000_000)
     for r in sizes:
         share = F.when(F.col("lang") == r.lang, int(1_000_000 * train_rows / r.rows)).otherwise(share)
     chosen = labelled.where(F.pmod("pick", F.lit(1_000_000)) < share)
-    sample = cut_lineage(chosen.select("lang", "text"), "sample")
+    return cut_lineage(chosen.select("lang", "text"), "sample")
+
+
+def grams(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """For every byte the number of the ORDER + 1 bytes that end there; zeros stand before a text."""
+    now = data[cuts[0] : cuts[-1]].astype(np.int64)
+    at = np.arange(len(now)) - np.repeat(cuts[:-1] - cuts[0], np.diff(cuts))
+    out = now.copy()
+    for back in range(1, min(ORDER, len(now) - 1) + 1):
+        out[back:] |= np.where(at[back:] >= back, now[:-back], 0) << (8 * back)
+    return out
+
+
+def tree(found: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Sorted numbers and bits of the bytes in contexts, and of the escapes, from counts of distinct grams.
+
+    The order stands above the bytes of a number.
+    """
+    tables = [[], [], [], []]
+    for order in range(ORDER + 1):
+        runs_, own = np.unique(found & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        count = np.bincount(own, n)
+        contexts, of = np.unique(runs_ >> 8, return_inverse=True)
+        kinds = np.bincount(of).astype(float)
+        whole = np.bincount(of, count) + kinds
+        new = (runs_ | order << 48, -np.log2(count / whole[of]), contexts | order << 48, -np.log2(kinds / whole))
+        for column, values in zip(tables, new):
+            column.append(values)
+    return [np.concatenate(c).astype(t) for c, t in zip(tables, (np.int64, np.float32, np.int64, np.float32))]
+
+
+def looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each wanted number in the sorted keys, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def gram_bits(wanted: np.ndarray, table: list[np.ndarray]) -> np.ndarray:
+    """Bits of the last byte of each gram."""
+    keys, bits, contexts, escapes = table
+    out, left = np.zeros(len(wanted)), np.arange(len(wanted))
+    for order in range(ORDER, -1, -1):
+        run = wanted[left] & ((1 << 8 * (order + 1)) - 1)
+        at, hit = looked_up(keys, run | order << 48)
+        out[left[hit]] += bits[at[hit]]
+        left, run = left[~hit], run[~hit]
+        at, hit = looked_up(contexts, run >> 8 | order << 48)
+        out[left[hit]] += escapes[at[hit]]
+    out[left] += 8
+    return out
+
+
+def sparse_trees(labelled: DataFrame, train_rows: int) -> DataFrame:
+    """(lang, keys, bits, contexts, escapes) for every language of (lang, text, pick)."""
+
+    def counted(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            names, own = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
+            for first, last in runs(offsets):
+                cuts = offsets[first : last + 1]
+                found, lang = grams(data, cuts), np.repeat(own[first:last], np.diff(cuts))
+                for k in np.unique(own[first:last]):
+                    distinct, n = np.unique(found[lang == k], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[k]] * len(distinct), pa.string()), pa.array(distinct), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+    def table(group: pd.DataFrame) -> pd.DataFrame:
+        made = tree(group["gram"].to_numpy(), group["n"].to_numpy())
+        return pd.DataFrame({"lang": group["lang"].iloc[:1]} | {k: [v.tobytes()] for k, v in zip(("keys", "bits", "contexts", "escapes"), made)})
+
+    rows = sampled(labelled, train_rows).mapInArrow(counted, "lang string, gram long, n long")
+    summed = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    kind = "lang string, keys binary, bits binary, contexts binary, escapes binary"
+    return cut_lineage(summed.groupBy("lang").applyInPandas(lambda g: table(g), kind), "trees")
+
+
+def trees(labelled: DataFrame, train_rows: int) -> tuple[DataFrame, np.ndarray]:
+    """(lang, table) of order 2 over frequent bytes, for every language, and the code of each byte.
+
+    The dense form, which its tests compare; ``identify`` uses the sparse one.
+    """
+    sample = sampled(labelled, train_rows)
 
     def bytes_seen(batches):
         total = np.zeros(256, np.int64)
@@ -112,7 +196,7 @@ def trees(labelled: DataFrame, train_rows: int) -> tuple[DataFrame, np.ndarray]:
     return cut_lineage(counted.groupBy("lang").applyInPandas(lambda g: table(g), "lang string, bits binary"), "trees"), codes
 
 
-def scored(docs: DataFrame, langs: list[str], tables: list[np.ndarray], codes: np.ndarray) -> DataFrame:
+def scored(docs: DataFrame, langs: list[str], tables: list[list[np.ndarray]]) -> DataFrame:
     """Add these languages to what docs (.., text, best, bits, rest) has found.
 
     ``rest`` is the sum of 2 ** (bits - own bits) over all languages.
@@ -130,11 +214,11 @@ def scored(docs: DataFrame, langs: list[str], tables: list[np.ndarray], codes: n
                 cuts = offsets[first : last + 1]
                 sizes = np.diff(cuts)
                 full = np.flatnonzero(sizes)
-                where = places(data, cuts, codes) if len(full) else None
-                for name, lengths in zip(langs, tables):
+                distinct, where = np.unique(grams(data, cuts), return_inverse=True)
+                for name, table in zip(langs, tables):
                     own = np.zeros(last - first)
                     if len(full):
-                        own[full] = np.add.reduceat(lengths[where], (cuts[:-1] - cuts[0])[full], dtype=np.float64)
+                        own[full] = np.add.reduceat(gram_bits(distinct, table)[where], (cuts[:-1] - cuts[0])[full])
                     part = slice(first, last)
                     with np.errstate(over="ignore", invalid="ignore"):
                         better = own < bits[part]
@@ -169,8 +253,15 @@ def identify(
     learn = labelled.select(
         F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("pick")
     ).where("lang is not null and text <> ''")
-    tables, codes = trees(learn, train_rows)
-    langs = [r.lang for r in tables.select("lang").orderBy("lang").collect()]
+    tables = sparse_trees(learn, train_rows)
+    columns = {"keys": np.int64, "bits": np.float32, "contexts": np.int64, "escapes": np.float32}
+    sizes = tables.select("lang", sum(F.octet_length(c) for c in columns).alias("bytes")).orderBy("lang").collect()
+    passes, held = [], 0
+    for r in sizes:
+        if not passes or len(passes[-1]) >= LANGUAGES or held + r.bytes > PASS_BYTES:
+            passes, held = [*passes, []], 0
+        passes[-1].append(r.lang)
+        held += r.bytes
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.when(text.rlike(r"\p{L}"), text).alias("text"),
@@ -178,9 +269,9 @@ def identify(
         F.lit(float("inf")).alias("bits"),
         F.lit(0.0).alias("rest"),
     )
-    for at in range(0, len(langs), LANGUAGES):
-        part = tables.where(F.col("lang").isin(langs[at : at + LANGUAGES])).orderBy("lang").collect()
-        rows = scored(rows, [r.lang for r in part], [np.frombuffer(r.bits, np.float32) for r in part], codes)
+    for langs in passes:
+        part = tables.where(F.col("lang").isin(langs)).orderBy("lang").collect()
+        rows = scored(rows, [r.lang for r in part], [[np.frombuffer(r[c], t) for c, t in columns.items()] for r in part])
     known = F.col("text").isNotNull() & F.col("best").isNotNull()
     return rows.select(
         F.col("id").alias(id_col),

@@ -146,3 +146,54 @@ def test_folds_do_not_look_at_the_languages_of_held_out_rows(spark):
     changed = docs.withColumn("lang", F.when(held, "zz").otherwise(F.col("lang")))
     one, two = (sorted(identify(d, d.where(~held)).collect()) for d in (docs, changed))
     assert one == two
+
+
+def sparse_bits(train, text):
+    """Code length of a text by walking the contexts of each byte, over all 256 values."""
+    seen = {}
+    for s in ([0] * language.ORDER + [*t.encode()] for t in train):
+        for k in range(language.ORDER, len(s)):
+            for n in range(language.ORDER + 1):
+                counts = seen.setdefault(tuple(s[k - n : k]), {})
+                counts[s[k]] = counts.get(s[k], 0) + 1
+    bits, s = 0.0, [0] * language.ORDER + [*text.encode()]
+    for k in range(language.ORDER, len(s)):
+        chance = 1.0
+        for n in range(language.ORDER, -1, -1):
+            counts = seen.get(tuple(s[k - n : k]), {})
+            total, kinds = sum(counts.values()), len(counts)
+            if s[k] in counts:
+                chance *= counts[s[k]] / (total + kinds)
+                break
+            chance *= kinds / (total + kinds) if total else 1.0
+        else:
+            chance /= 256
+        bits -= math.log2(chance)
+    return bits
+
+
+def test_sparse_code_lengths_are_those_of_a_context_walk():
+    def cut(texts):
+        blobs = [t.encode() for t in texts]
+        return np.frombuffer(b"".join(blobs), np.uint8), np.cumsum([0, *map(len, blobs)])
+
+    train = ["das und der", "derdiedas", "", "é über", "ж"]
+    found, n = np.unique(language.grams(*cut(train)), return_counts=True)
+    table = language.tree(found, n)
+    for text in ("der und", "xyz q", "é", "das\nDAS", "жжж", "d"):
+        assert language.gram_bits(language.grams(*cut([text])), table).sum() == pytest.approx(sparse_bits(train, text), rel=1e-5)
+
+
+def test_two_rare_languages_of_one_script_beside_a_large_latin_one(frame):
+    draw = random.Random(5)
+    letters = [chr(c) for c in range(0x430, 0x450)]
+    latin = "".join(map(chr, range(33, 127)))
+    words = {}
+    for lang in ("bg", "uk"):
+        words[lang] = ["".join(draw.sample(letters, 5)) for _ in range(12)]
+    line = lambda lang: " ".join(draw.choices(words[lang], k=10))
+    rows = [(k, "".join(draw.sample(latin, 94)) * 10, "en", "s", 0.0) for k in range(300)]
+    rows += [(1000 + k, line(lang), lang, "s", 0.0) for k, lang in enumerate(["bg", "uk"] * 10)]
+    fresh = [(2000 + k, line(lang), lang, "s", 0.0) for k, lang in enumerate(["bg", "uk"] * 10)]
+    found = {r.doc_id: r.lang_pred for r in identify(frame(fresh, DOCS), frame(rows, DOCS)).collect()}
+    assert found == {r[0]: r[2] for r in fresh}
