@@ -13,6 +13,8 @@ from millgauge.llm.near_dup import near_duplicates
 from millgauge.llm.neighbours import nearest
 from millgauge.llm.packing import pack
 from millgauge.llm.quality import classify
+from millgauge.llm.quality_rules import STOP_WORDS, judge_text
+from millgauge.llm.resampling import resample
 from millgauge.llm.sharding import balanced_shards
 from millgauge.llm.top_scores import top_scores
 from millgauge.llm.url_filter import judge
@@ -216,3 +218,105 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest inner products of every hundredth vector."""
     return top_scores(table(spark, sf_dir, "embeddings"))
+
+
+#: Distinct runs of one to three words of every text of a table, with how often each stands in it.
+RUNS_SQL = r"""
+    {name}_words AS (
+        SELECT {key} AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM {table}
+    ),
+    {name}_places AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM {name}_words),
+    {name}_runs AS (
+        SELECT r, f, count(*) AS n FROM (
+            SELECT r, w[i] AS f FROM {name}_places
+            UNION ALL SELECT r, w[i] || ' ' || w[i + 1] FROM {name}_places WHERE i + 1 <= len(w)
+            UNION ALL SELECT r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM {name}_places WHERE i + 2 <= len(w)
+        ) GROUP BY r, f
+    )"""
+
+
+@query(
+    "op11_resampling",
+    f"""
+    WITH RECURSIVE docs AS (SELECT doc_id, text, row_number() OVER () AS k FROM documents),
+    {RUNS_SQL.format(name="own", key="k", table="docs")},
+    {RUNS_SQL.format(name="aim", key="item_id", table="benchmark")},
+    bits AS (
+        SELECT range AS b, range::BIGINT AS v, 0 AS step FROM range(256)
+        UNION ALL
+        SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM bits WHERE step < 8
+    ),
+    bytes AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE step = 8),
+    texts AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM own_runs UNION SELECT f FROM aim_runs)),
+    sums AS (
+        SELECT f, h, 4294967295::BIGINT AS v, 0 AS pos FROM texts
+        UNION ALL
+        SELECT f, h, xor(v >> 8, (SELECT t FROM bytes)[(xor(v, ('0x' || substr(h, 2 * pos + 1, 2))::BIGINT) & 255) + 1]), pos + 1
+        FROM sums WHERE 2 * pos < len(h)
+    ),
+    buckets AS (SELECT f, xor(v, 4294967295) % 10000 AS bucket FROM sums WHERE 2 * pos = len(h)),
+    own AS (SELECT r, bucket, sum(n)::DOUBLE AS n FROM own_runs JOIN buckets USING (f) GROUP BY ALL),
+    s AS (SELECT bucket, sum(n) AS s FROM own GROUP BY bucket),
+    t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM aim_runs JOIN buckets USING (f) GROUP BY bucket),
+    gains AS (
+        SELECT s.bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM s) + 10000)
+            / ((s + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000)))) AS gain
+        FROM s LEFT JOIN t USING (bucket)
+    ),
+    weights AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM own JOIN gains USING (bucket) GROUP BY r),
+    scored AS (
+        SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+        FROM docs JOIN own_words ON own_words.r = k LEFT JOIN weights ON weights.r = k
+    ),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+    SELECT doc_id, n_features, weight, score,
+        CASE WHEN n_words >= 20 AND place <= (SELECT 5 * count(*) // 100 FROM scored WHERE n_words >= 20) THEN place END AS rank
+    FROM ranked
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their importance for the benchmark texts; five of a hundred are drawn."""
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+STOP_WORDS_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@query(
+    "op12_quality_rules",
+    rf"""
+    WITH docs AS (
+        SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+        FROM documents
+    ),
+    spans AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS span FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+    twice AS (SELECT r, span FROM spans GROUP BY r, span HAVING count(*) > 1),
+    places AS (SELECT DISTINCT r, i + k.range AS place FROM spans JOIN twice USING (r, span), range(3) k),
+    repeats AS (SELECT r, count(*) AS n FROM places GROUP BY r),
+    measured AS (
+        SELECT doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, coalesce(repeats.n, 0) AS n_repeat_words,
+            len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
+            len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS letters,
+            len(list_filter(w, lambda x: regexp_matches(x, '(?s)\p{{Lu}}.*\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))) AS shouted,
+            len(list_filter(w, lambda x: lower(rtrim(x, '.,;:!?')) IN ({STOP_WORDS_SQL}))) AS stops,
+            len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS listed,
+            len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*\z'))) AS broken
+        FROM docs LEFT JOIN repeats USING (r)
+    ),
+    judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT base_failed AND 100 * word_chars BETWEEN 250 * n_words AND 1200 * n_words AND 100 * n_symbols <= 10 * n_words
+        AND 100 * letters >= 70 * n_words AND 100 * shouted <= 30 * n_words AND 100 * stops >= 5 * n_words
+        AND 100 * n_dup_lines <= 30 * n_lines AND 100 * listed <= 90 * n_lines AND 100 * broken <= 30 * n_lines AS kept
+    FROM judged
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of all documents and whether they keep the table of quality rules."""
+    judged = judge_text(table(spark, sf_dir, "documents"))
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
