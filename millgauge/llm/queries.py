@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millgauge.llm.fill_middle import fill_in_middle, restored
 from millgauge.llm.language import identify
 from millgauge.llm.line_dedup import dedup_lines
 from millgauge.llm.mixing import mix
@@ -320,3 +321,35 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures of all documents and whether they keep the table of quality rules."""
     judged = judge_text(table(spark, sf_dir, "documents"))
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query(
+    "op13_fill_in_middle",
+    r"""
+    WITH cut AS (
+        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+            list_transform(range(4), lambda k: ('0x' || substr(sha256('42:' || doc_id), 8 * k + 1, 8))::BIGINT) AS h
+        FROM documents
+    ),
+    placed AS (
+        SELECT *, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+                WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+        FROM cut
+    ),
+    parts AS (
+        SELECT doc_id, t, form, len(u) AS n, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+            array_to_string(u[b + 1:], '') AS s
+        FROM placed
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(t) AS restored_sha256
+    FROM parts
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with half of them rearranged for filling in their middle."""
+    turned = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = [F.sha2(c.cast("binary"), 256).alias(n) for n, c in (("output_sha256", F.col("output")), ("restored_sha256", restored("output", "form")))]
+    return turned.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)

@@ -51,7 +51,7 @@ def test_each_rule_fails_what_it_names(frame):
     assert failed(frame, line([p.replace("a", "1").split()[1] + "q" for p in plain])) == ["stop words"]
     assert failed(frame, line([f"the {k}" for k in range(100, 160)])) == ["words of letters"]
     assert failed(frame, line([p + "..." for p in plain], 1)) == ["few broken lines"]
-    assert failed(frame, line(["-" + p for p in plain], 1)) == ["few listed lines"]
+    assert failed(frame, line(["-is " + p for p in plain], 1)) == ["few listed lines"]
     assert failed(frame, line(plain) + "\nthe same line" * 4) == ["few repeated lines"]
     assert failed(frame, line([p.split()[0] + " " + p.split()[1] * 6 for p in plain])) == ["length of words"]
     assert failed(frame, "the same few words of it " * 20) == ["no repeated passages"]
