@@ -8,10 +8,9 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from millgauge.operators.heavy import HOT_ROWS, Running, attach, running_totals, split_heavy
-
-SKETCH_ACCURACY = 50_000
-BRACKET = 3 / SKETCH_ACCURACY
+from millgauge.operators.heavy import HOT_ROWS, Running, attach, running_totals
+from millgauge.operators.selection import FETCH_ROWS, interpolated, long_values, quantile_ranks, select_ranks, value_bins
+from millgauge.sources.staged import cut_lineage
 
 
 def _interpolate(ranked: Column, prob: float, size: Column) -> Column:
@@ -22,132 +21,25 @@ def _interpolate(ranked: Column, prob: float, size: Column) -> Column:
     return F.when((low == high) | (below == above), below).otherwise((high - at) * below + (at - low) * above)
 
 
-def _heavy_quantiles(
-    heavy: DataFrame, by: Sequence[str], probs: Mapping[str, Sequence[float]]
-) -> DataFrame:
-    """Exact quantiles of heavy groups, in three narrow passes.
-
-    1. A mergeable sketch per (group, measure) brackets each wanted probability.
-    2. Counting rows between the brackets (map-side) tells which bracket holds each wanted rank.
-    3. Only the values of those brackets are shuffled, already merged into value counts.
-
-    If a sketch misses, the rank falls into a wider bracket and the answer is still exact.
-    """
-    long = heavy.select(
-        *by,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(m).alias("_m"), F.col(m).cast("double").alias("_v"))
-                    for m in probs
-                ]
-            )
-        ).alias("_x"),
-    ).select(*by, "_x._m", "_x._v").where(F.col("_v").isNotNull())
-    keys = [*by, "_m"]
-
-    edges = sorted(
-        {
-            min(1.0, max(0.0, p + side * BRACKET))
-            for ps in probs.values()
-            for p in ps
-            for side in (-1, 1)
-        }
-    )
-    sketch = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_edges"),
-    )
-    binned = attach(long, sketch, keys, "inner").withColumn(
-        "_slice", F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-    )
-
-    wanted = F.lit(None).cast("array<bigint>")
-    for m, ps in probs.items():
-        ranks = F.array_distinct(
-            F.flatten(
-                F.array(
-                    *[
-                        F.array(
-                            F.floor(F.lit(float(p)) * (F.col("_n") - 1)),
-                            F.ceil(F.lit(float(p)) * (F.col("_n") - 1)),
-                        )
-                        for p in ps
-                    ]
-                )
-            )
-        )
-        wanted = F.when(F.col("_m") == m, ranks).otherwise(wanted)
-    within = W.partitionBy(*keys).orderBy("_slice")
-    targets = (
-        binned.groupBy(*keys, "_slice", "_n")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_upto", F.sum("_rows").over(within))
-        .withColumn("_from", F.col("_upto") - F.col("_rows"))
-        .withColumn(
-            "_ranks",
-            F.filter(wanted, lambda r: (r >= F.col("_from")) & (r < F.col("_upto"))),
-        )
-        .where(F.size("_ranks") > 0)
-        .select(*keys, "_slice", "_from", "_ranks")
-    )
-    in_slice = W.partitionBy(*keys, "_slice").orderBy("_v")
-    found = (
-        attach(binned, targets, [*keys, "_slice"], "inner")
-        .groupBy(*keys, "_slice", "_n", "_from", "_ranks", "_v")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_end", F.sum("_rows").over(in_slice) + F.col("_from"))
-        .withColumn(
-            "_hits",
-            F.filter(
-                "_ranks",
-                lambda r: (r >= F.col("_end") - F.col("_rows")) & (r < F.col("_end")),
-            ),
-        )
-        .where(F.size("_hits") > 0)
-        .select(*keys, "_n", F.explode("_hits").alias("_r"), "_v")
-        .groupBy(*keys, "_n")
-        .agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_ranked"))
-    )
-    return found.groupBy(*by).agg(
-        *[
-            F.first(
-                F.when(
-                    F.col("_m") == m,
-                    F.array(*[_interpolate(F.col("_ranked"), float(p), F.col("_n")) for p in ps]),
-                ),
-                ignorenulls=True,
-            ).alias(m)
-            for m, ps in probs.items()
-        ]
-    )
-
-
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
     probs: Mapping[str, Sequence[float]],
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: one array column per measure in ``probs``.
 
-    ``percentile`` keeps a value map per group, so it serves groups of at most ``hot_rows`` rows;
-    larger groups go through :func:`_heavy_quantiles`. Both use the same interpolation, and both give a
-    group without values one row of nulls.
+    Digit-wise selection over staged narrow columns: a group costs a bounded number of counts, whatever its
+    size. A group without values gives one row of nulls. ``hot_rows`` sets from which number of rows a
+    bin is split again instead of fetched; results do not depend on it.
     """
-    light, heavy = split_heavy(df.select(*by, *probs), by, hot_rows)
-    if heavy is not None and not by:
-        return _heavy_quantiles(heavy, by, probs)
-    light_q = light.groupBy(*by).agg(
-        *[
-            F.percentile(F.col(m), F.array(*[F.lit(float(p)) for p in ps])).alias(m)
-            for m, ps in probs.items()
-        ]
-    )
-    if heavy is None:
-        return light_q
-    groups = heavy.select(*by).distinct()
-    return light_q.unionByName(attach(groups, _heavy_quantiles(heavy, by, probs), by))
+    staged = cut_lineage(df.select(*by, *probs), "measures")
+    long = long_values(staged, by, list(probs))
+    bins = cut_lineage(value_bins(long, by), "bins")
+    fetch_rows = min(hot_rows or FETCH_ROWS, FETCH_ROWS)
+    found = select_ranks(bins, long, by, quantile_ranks(list(probs.values())), fetch_rows)
+    table = interpolated(found, by, probs)
+    return join_null_safe(bins.select(*by).distinct(), table, by) if by else table
 
 
 def exact_quantiles_sorted(

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millgauge.functions.bins import quantile_of_percentile
-from millgauge.operators.heavy import HOT_ROWS, has_heavy, split_heavy
-from millgauge.operators.quantiles import _heavy_quantiles, join_null_safe
+from millgauge.operators.heavy import HOT_ROWS
+from millgauge.operators.quantiles import join_null_safe
 from millgauge.operators.ranks import percentile_rank
+from millgauge.operators.selection import (
+    FETCH_ROWS,
+    interpolated,
+    long_values,
+    merged_bins,
+    quantile_ranks,
+    select_ranks,
+    value_bins,
+)
 from millgauge.sources.staged import cut_lineage
 
 # Which statistics the published tables carry per measure.
@@ -50,14 +59,97 @@ POOLED = Mode(
 )
 
 
-def _mergeable(measures: Mapping[str, Sequence[str]], counted: Sequence[str]) -> list:
-    make = {"sum": F.sum, "mean": F.avg, "std": F.stddev_samp}
-    out = [F.count(F.lit(1)).alias("count")]
-    out += [F.count(m).alias(f"{m}_notnull") for m in counted]
-    out += [
-        make[s](m).alias(f"{m}_{s}") for m, stats in measures.items() for s in stats if s in make
-    ]
-    return out
+@dataclass(frozen=True)
+class State:
+    """What summaries need of some rows, in tables that merge: no later step goes back to all measures.
+
+    ``groups`` holds counts and, per measure, number, sum and squared deviations of each finest group;
+    ``bins`` the counts of first digits, for exact medians; ``ids`` the distinct ids. Distinct ids are kept as
+    rows: a bitmap aggregate takes four kilobytes for each group and range of 32,768 ids, which
+    is more than the few ids that a finest group has of a range.
+    """
+
+    rows: DataFrame
+    keys: Sequence[str]
+    measures: Sequence[str]
+    groups: DataFrame
+    bins: DataFrame
+    ids: DataFrame
+
+
+def summary_state(rows: DataFrame, keys: Sequence[str], id_col: str, measures: Sequence[str]) -> State:
+    """The mergeable state of the finest groups ``keys``. The rows are staged, so they are evaluated once."""
+    rows = cut_lineage(rows.select(id_col, *keys, *[F.col(m).cast("double").alias(m) for m in measures]), "summary_rows")
+    moments = [F.count(F.lit(1)).alias("_count")]
+    for i, m in enumerate(measures):
+        squares = F.var_pop(m) * F.count(m)
+        moments += [F.count(m).alias(f"_n{i}"), F.sum(m).alias(f"_s{i}"), squares.alias(f"_q{i}")]
+    groups = cut_lineage(rows.groupBy(*keys).agg(*moments), "summary_groups")
+    bins = cut_lineage(value_bins(long_values(rows, keys, measures), keys), "summary_bins")
+    ids = rows.select(*keys, F.col(id_col).alias("_id")).distinct()
+    return State(rows, keys, measures, groups, bins, ids)
+
+
+def roll_up(
+    state: State,
+    expand: Callable[[DataFrame], DataFrame],
+    by: Sequence[str],
+    wanted: Mapping[str, Sequence[str]],
+    column: Callable[[str], Column],
+    counted: Sequence[str],
+    unique: str,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Summary tables from the state: counts, distinct ids, sums, means, medians, standard deviations.
+
+    ``expand`` gives a row of the finest groups once for each coarser group ``by`` that it belongs to, with the
+    columns it came with. ``column`` names, per expanded row, the measure of the state that a wanted measure
+    stands for. Deviations of a group are those inside its parts and those of the parts' means, so nothing large cancels.
+    """
+    of = list(state.measures)
+
+    def cell(prefix: str, measure: str) -> Column:
+        out = F.lit(None)
+        for i, name in enumerate(of):
+            out = F.when(column(measure) == name, F.col(f"{prefix}{i}")).otherwise(out)
+        return out
+
+    parts = expand(state.groups)
+    parts = parts.select(
+        *by, "_count", *[cell(p, m).alias(f"{p}:{m}") for m in wanted for p in ("_n", "_s", "_q")]
+    )
+    group = W.partitionBy(*by)
+    means = {f"_mean:{m}": F.try_divide(F.sum(f"_s:{m}").over(group), F.sum(f"_n:{m}").over(group)) for m in wanted}
+    parts = parts.withColumns(means)
+    out = [F.sum("_count").alias("count")]
+    out += [F.sum(f"_n:{m}").alias(f"{m}_notnull") for m in counted]
+    for m, stats in wanted.items():
+        n = F.sum(f"_n:{m}")
+        gap = F.try_divide(F.col(f"_s:{m}"), F.col(f"_n:{m}")) - F.col(f"_mean:{m}")
+        squares = F.sum(F.col(f"_q:{m}") + F.col(f"_n:{m}") * gap * gap)
+        make = {"sum": F.sum(f"_s:{m}"), "mean": F.max(f"_mean:{m}"), "std": F.sqrt(F.try_divide(squares, F.when(n > 1, n - 1)))}
+        out += [make[s].alias(f"{m}_{s}") for s in stats if s in make]
+    table = parts.groupBy(*by).agg(*out)
+
+    ids = expand(state.ids).select(*by, "_id").distinct().groupBy(*by).agg(F.count("_id").alias(unique))
+    table = join_null_safe(table, ids, by)
+
+    medians = [m for m, stats in wanted.items() if "median" in stats]
+    if not medians:
+        return table
+
+    def renamed(df: DataFrame) -> DataFrame:
+        """The rows of digits or values, numbered by the wanted measures that they serve."""
+        hits = [F.when(column(m) == F.element_at(F.array(*map(F.lit, of)), F.col("_m") + 1), F.lit(i)) for i, m in enumerate(medians)]
+        numbered = expand(df).withColumn("_m", F.explode(F.array_compact(F.array(*hits))))
+        return numbered.select(*by, "_m", *[c for c in df.columns if c not in (*state.keys, "_m")])
+
+    bins = cut_lineage(merged_bins(renamed(state.bins), by), "bins")
+    values = renamed(long_values(state.rows, state.keys, of))
+    probs = {m: [0.5] for m in medians}
+    found = select_ranks(bins, values, by, quantile_ranks(list(probs.values())), min(hot_rows or FETCH_ROWS, FETCH_ROWS))
+    exact = interpolated(found, by, probs).select(*by, *[F.col(m)[0].alias(f"{m}_median") for m in medians])
+    return join_null_safe(table, exact, by)
 
 
 def summarise(
@@ -66,35 +158,16 @@ def summarise(
     id_col: str = "PropertyID",
     measures: Mapping[str, Sequence[str]] = MEASURES,
     counted: Sequence[str] = COUNTED,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Counts, distinct ids, sums, means, medians and standard deviations per group.
 
-    Ordinary groups, of at most ``hot_rows`` rows, take one aggregation: their value maps are bounded by
-    the group size. Distinct ids are counted after a distinct that can spill. In heavy groups the sums merge map-side, the medians are found by
-    bracketing, and the distinct ids are counted spread over ``(by, id)``.
+    All come from a mergeable state, whose size in a task does not depend on how many rows a group has:
+    moments merge map-side, medians are selected digit by digit, and distinct ids are counted after a distinct that
+    can spill. ``hot_rows`` sets from which number of rows a bin of values is split again instead of fetched.
     """
-    medians = [m for m, stats in measures.items() if "median" in stats]
-    unique = f"{id_col}_nunique"
-    light, heavy = split_heavy(df.select(id_col, *by, *measures), by, hot_rows)
-    plain = light.groupBy(*by).agg(
-        *_mergeable(measures, counted),
-        *[F.median(m).alias(f"{m}_median") for m in medians],
-    )
-    pairs = light.select(*by, id_col).distinct()
-    plain = join_null_safe(plain, pairs.groupBy(*by).agg(F.count(id_col).alias(unique)), by).select(
-        *by, *[c for c in plain.columns if c not in by and not c.endswith("_median")], unique,
-        *[f"{m}_median" for m in medians],
-    )
-    if heavy is None:
-        return plain
-    heavy_medians = _heavy_quantiles(heavy, by, {m: [0.5] for m in medians}).select(
-        *by, *[F.col(m)[0].alias(f"{m}_median") for m in medians]
-    )
-    ids = heavy.groupBy(*by).agg(F.count_distinct(F.col(id_col)).alias(unique))
-    large = heavy.groupBy(*by).agg(*_mergeable(measures, counted))
-    large = join_null_safe(join_null_safe(large, heavy_medians, by), ids, by)
-    return plain.unionByName(large)
+    state = summary_state(df, by, id_col, list(measures))
+    return roll_up(state, lambda rows: rows, by, measures, F.lit, counted, f"{id_col}_nunique", hot_rows)
 
 
 def with_ratios(df: DataFrame) -> DataFrame:
@@ -138,7 +211,7 @@ def mode_rows(
     """Trimmed sales once per time mode they belong to, with that mode's measure columns.
 
     One scan of the tiles serves all modes: each row is expanded into an array of the modes whose
-    recency rank is 1. ``mode_id`` keeps a sale identifiable as a tiebreak.
+    recency rank is 1.
     """
     entries = [
         F.when(
@@ -174,46 +247,35 @@ def summary_cube(
     """All summary tables in one: keyed by ``mode``, ``bin_family``, geography, ``bin``, ``period``.
 
     ``quantile_bins`` maps a bin family to its number of groups; they are ranked by sale price
-    within period and the first geography column, highest price first. Expanding each sale once
-    per bin family replaces one scan per table. Every summary group lies inside one (mode, period,
-    geography) group, so one look for heavy groups at that level serves the ranks and the summary.
-    With heavy groups the ranked rows are staged, because the summary then passes over them often.
+    within period and the first geography column, highest price first. The tiles are evaluated once, into
+    the state of the finest groups (mode, period, geography and all bins together); every bin family is rolled up
+    from that state, so a sale is not repeated per family. Families of quantile groups use the
+    rate in money of the year, the others that of the mode.
     """
     groups = {"SaleAmt_Decile": 10, "SaleAmt_Quintile": 5} if quantile_bins is None else quantile_bins
     rows = mode_rows(tiles, geo, static_bins, modes, id_col, measures)
-    market = ["mode", "period", geo[0]]
-    heavy = has_heavy(rows, market, hot_rows)
-    if not heavy:
-        hot_rows = None
     if groups:
-        rows = percentile_rank(rows, "SaleAmt", market, id_col, "_percentile", hot_rows)
-    if heavy:
-        rows = cut_lineage(rows, "cube_rows")
-    families = [(b, F.col(b), F.col("TaxRate")) for b in static_bins] + [
-        (name, quantile_of_percentile(F.col("_percentile"), k).cast("string"), F.col("TaxRate_nominal"))
-        for name, k in groups.items()
-    ]
-    expanded = rows.withColumn(
-        "_bin",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("bin_family"), b.alias("bin"), r.alias("rate"))
-                    for n, b, r in families
-                ]
-            )
-        ),
-    ).select(
-        id_col,
-        "mode",
-        "_bin.bin_family",
-        *geo,
-        "_bin.bin",
-        "period",
-        *[F.col("_bin.rate").alias(m) if m == "TaxRate" else F.col(m) for m in measures],
-    )
+        rows = cut_lineage(rows, "cube_rows")  # the ranks look for heavy groups before they are computed
+        rows = percentile_rank(rows, "SaleAmt", ["mode", "period", geo[0]], id_col, "_percentile", hot_rows)
+        rows = rows.withColumns({name: quantile_of_percentile(F.col("_percentile"), k).cast("string") for name, k in groups.items()})
+    families = [*static_bins, *groups]
+    nominal = [*groups] if groups and "TaxRate" in measures else []
+    finest = ["mode", *geo, "period", *families]
+    state = summary_state(rows, finest, id_col, [*measures, *(["TaxRate_nominal"] if nominal else [])])
+
+    def expand(df: DataFrame) -> DataFrame:
+        bins = F.array(*[F.struct(F.lit(f).alias("bin_family"), F.col(f).cast("string").alias("bin")) for f in families])
+        rest = [c for c in df.columns if c not in families]
+        return df.select(*rest, F.explode(bins).alias("_bin")).select(*rest, "_bin.*")
+
+    def column(measure: str) -> Column:
+        if measure == "TaxRate" and nominal:
+            return F.when(F.col("bin_family").isin(nominal), "TaxRate_nominal").otherwise("TaxRate")
+        return F.lit(measure)
+
     by = ["mode", "bin_family", *geo, "bin", "period"]
-    table = summarise(expanded, by, id_col, measures, [c for c in COUNTED if c in measures], hot_rows)
+    counted = [c for c in COUNTED if c in measures]
+    table = roll_up(state, expand, by, measures, column, counted, f"{id_col}_nunique", hot_rows)
     return with_totals(with_ratios(table), ["mode", "bin_family"], geo)
 
 

@@ -2,7 +2,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from millgauge.operators import quantiles as q
+from millgauge.operators.selection import first_digit
+from millgauge.sources.staged import cut_lineage
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 
@@ -40,12 +44,41 @@ def test_sorted_quantiles_match_numpy(spark, hot_rows):
     assert len(got) == 5 and got["none"] is None
 
 
-def test_a_missed_bracket_still_gives_the_exact_answer(spark, monkeypatch):
-    """With useless brackets the wanted rank lies in an outer slice, which is then searched."""
-    monkeypatch.setattr(q, "BRACKET", -0.3)
-    pdf, df = sample(spark)
-    got = {r.g: r.v for r in q.exact_quantiles(df, ["g"], {"v": [0.5]}, 50).collect()}
-    assert got["big"] == pytest.approx([np.quantile(pdf[pdf.g == "big"].v, 0.5)])
+def extremes():
+    rng = np.random.default_rng(1)
+    far = rng.normal(size=900) * 10.0 ** rng.integers(-300, 300, 900)
+    ends = [np.inf, -np.inf, 0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308]
+    return np.concatenate([far, rng.integers(-3, 3, 300), ends, np.full(500, 7.25), 7.25 + rng.normal(size=500) * 1e-9])
+
+
+@pytest.mark.parametrize("fetch", [None, 40, 2])
+def test_digits_part_values_of_any_size(spark, fetch):
+    """Both signs, infinities, subnormal numbers, ties and near ties, split down to bins of two rows."""
+    values = extremes()
+    pdf = pd.DataFrame({"g": np.arange(len(values)) % 3, "v": values, "w": values[::-1]})
+    found = q.exact_quantiles(spark.createDataFrame(pdf), ["g"], {"v": PROBS, "w": [0.3]}, fetch).collect()
+    for g, part in pdf.groupby("g"):
+        row = next(r for r in found if r.g == g)
+        for column, probs, got in (("v", PROBS, row.v), ("w", [0.3], row.w)):
+            ordered = np.sort(part[column].to_numpy())
+            for p, x in zip(probs, got):
+                spot = p * (len(ordered) - 1)
+                low, high = ordered[int(np.floor(spot))], ordered[int(np.ceil(spot))]
+                share = spot - np.floor(spot)
+                assert x == (low if low == high or not share else pytest.approx((1 - share) * low + share * high, rel=1e-9))
+
+
+def test_first_digits_never_decrease(spark):
+    values = np.unique(np.concatenate([extremes(), np.nextafter(extremes()[:200], np.inf), 2.0 ** np.arange(-1074, 1024)]))
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).select("v", first_digit(F.col("v")).alias("d"))
+    digits = [r.d for r in sorted(df.collect(), key=lambda r: r.v)]
+    assert digits == sorted(digits)
+
+
+def test_no_task_holds_the_values_of_a_group(spark):
+    df = spark.createDataFrame(sample(spark)[0])
+    plan = q.exact_quantiles(df, ["g"], {"v": [0.5]})._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "median" not in plan
 
 
 def test_whole_table_quantiles(spark):
@@ -125,8 +158,16 @@ def test_margin_of_error(frame):
     assert row.TaxRate_upper - row.TaxRate_lower == pytest.approx(2 * row.TaxRate_moe)
 
 
-def test_quantile_scan_reads_only_needed_columns(spark):
+def test_quantile_scan_reads_only_needed_columns(spark, monkeypatch):
+    """What is staged is read with the needed columns alone, and everything later reads the stage."""
+    plans = []
+
+    def recorded(df, name="cut"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_lineage(df, name)
+
+    monkeypatch.setattr(q, "cut_lineage", recorded)
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     out = q.exact_quantiles(df, ["o_orderstatus"], {"o_totalprice": [0.5]})
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<o_orderstatus:string,o_totalprice:double>" in plan
+    assert "ReadSchema: struct<o_orderstatus:string,o_totalprice:double>" in plans[0]
+    assert "orders.parquet" not in plans[1] + out._jdf.queryExecution().executedPlan().toString()
