@@ -16,13 +16,15 @@ from millgauge.functions.geo import with_geohash
 from millgauge.operators.heavy import HOT_ROWS
 from millgauge.operators.joins import Level, equi_join, fallback_lookup, role_lookup
 from millgauge.operators.panel import deflate
-from millgauge.operators.quality import coverage_report, duplicates, reconcile
+from millgauge.operators.quality import coverage_report, duplicates
 from millgauge.operators.ranks import percentile_ranks
 from millgauge.operators.recency import recency_ranks
 from millgauge.operators.spatial import Layer, layered_join, located_only
 from millgauge.operators.summary import POOLED, SNAPSHOT, Mode, summary_cube
 from millgauge.sources import export, staged
 from millgauge.sources.delimited import read_delimited
+from millgauge.sources.increments import Grown, grow
+from millgauge.sources.manifest import Built, Manifest, fingerprint, kept_stage, whole_stage
 
 # Code domains and qualifying codes of the source files.
 ROLL_CLASS = "R"
@@ -414,61 +416,110 @@ class Inputs:
     hot_rows: int | None = HOT_ROWS
 
 
+#: Part of every fingerprint: raise it when a stage would come out differently from the same inputs.
+VERSION = 1
+
+
+def counted(spark: SparkSession, manifest: Manifest) -> DataFrame:
+    """The counts of a stage and of its raw rows, as ``reconcile`` gives them, without reading either again."""
+    raw, kept = manifest.expected, manifest.rows
+    schema = "raw_rows long, staged_rows long, missing_rows long, matches boolean"
+    return spark.createDataFrame([(raw, kept, raw - kept, raw == kept)], schema)
+
+
+def refresh_crosswalk(spark: SparkSession, annual: DataFrame, inputs: Inputs, folder: str) -> Grown:
+    """The crosswalk with all parcels of the roll: only those it has never seen are geocoded.
+
+    Other reference tables or polygon layers start it anew.
+    """
+    tables = [inputs.block_groups, inputs.tracts_2020, inputs.tracts_2010, inputs.counties, *[x.polygons for x in inputs.layers]]
+    layers = [(x.name, x.cell, x.columns) for x in inputs.layers]
+    with_these = fingerprint(spark, params={"layers": layers, "version": VERSION}, tables=tables)
+
+    def derive(parcels: DataFrame) -> DataFrame:
+        return geocode(
+            parcels,
+            inputs.block_groups,
+            inputs.tracts_2020,
+            inputs.tracts_2010,
+            inputs.counties,
+            inputs.layers,
+            hot_rows=inputs.hot_rows,
+        )
+
+    return grow(spark, folder, annual, "PropertyID", derive, with_these)
+
+
 def run(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
-    """Run all stages, reusing complete ones, and return the staged tables and checks by name."""
+    """Run all stages, reusing those that still hold, and return the staged tables and checks by name.
+
+    A stage is built anew if its raw file, a parameter, a reference table or a stage before it has
+    changed, or if some of its files are gone; see :mod:`millgauge.sources.manifest`. ``stages`` tells for
+    each stage how many rows it has and why it was built in this run (null if it was reused).
+    """
 
     def at(name: str) -> str:
         return f"{inputs.work.rstrip('/')}/{name}"
 
-    def keep(name: str, build) -> DataFrame:
-        return staged.materialize(spark, build, at(name))
-
     checks: dict[str, DataFrame] = {}
+    built: dict[str, Built] = {}
+
+    def keep(name: str, build, before=(), params=None, tables=(), **given) -> DataFrame:
+        known = {"version": VERSION, **(params or {})}
+        wanted = fingerprint(spark, params=known, tables=tables, before=before)
+        built[name] = kept_stage(spark, at(name), build, wanted, **given)
+        return built[name].rows
 
     def take(name: str, path: str, schema, qualifying, cleaned) -> DataFrame:
-        """Stage a raw file, or reuse its stage; compare their counts while the raw file is there."""
+        """Stage a raw file; without the raw file, reuse its stage if that is whole."""
         if not staged.path_exists(spark, path):
-            if not staged.is_complete(spark, at(name)):
-                raise FileNotFoundError(f"neither {at(name)} nor {path} exists")
-            return spark.read.parquet(at(name))
+            found = whole_stage(spark, at(name))
+            if found is None:
+                raise FileNotFoundError(f"neither a whole {at(name)} nor {path} exists")
+            built[name] = found
+            return found.rows
         raw = read_delimited(spark, path, schema)
-        table = keep(name, lambda: cleaned(raw))
-        checks[f"{name}_count"] = reconcile(qualifying(raw), table)
-        return table
+        wanted = fingerprint(spark, [path], {"version": VERSION, "schema": schema.json()})
+        built[name] = kept_stage(spark, at(name), lambda: cleaned(raw), wanted, lambda: qualifying(raw).count())
+        checks[f"{name}_count"] = counted(spark, built[name].manifest)
+        return built[name].rows
 
     annual = take("annual", inputs.annual, schemas.ANNUAL, qualifying_roll, clean_annual)
     deeds = take("deeds", inputs.deeds, schemas.DEEDS, qualifying_deeds, clean_deeds)
-    ranked = keep("ranked_sales", lambda: rank_sales(deeds, inputs.min_year, inputs.hot_rows))
-    crosswalk = keep(
-        "crosswalk",
-        lambda: geocode(
-            annual,
-            inputs.block_groups,
-            inputs.tracts_2020,
-            inputs.tracts_2010,
-            inputs.counties,
-            inputs.layers,
-            hot_rows=inputs.hot_rows,
-        ),
+    ranked = keep(
+        "ranked_sales",
+        lambda: rank_sales(deeds, inputs.min_year, inputs.hot_rows),
+        [built["deeds"].token],
+        {"min_year": inputs.min_year},
     )
+    places = refresh_crosswalk(spark, annual, inputs, at("crosswalk"))
+    crosswalk = places.rows
     staging = keep(
         "sales_staging",
         lambda: stage_sales(ranked, annual, crosswalk, inputs.hpi, inputs.min_year),
+        [built["annual"].token, built["ranked_sales"].token, places.token],
+        {"min_year": inputs.min_year},
+        [inputs.hpi],
     )
+    keys = [layer.key for layer in inputs.layers]
     tiles = keep(
         "sales_staging_tiles",
         lambda: tile_sales(
             staging,
             split_year=inputs.min_year,
-            tiebreak=["FATransactionID", *[layer.key for layer in inputs.layers]],
+            tiebreak=["FATransactionID", *keys],
             hot_rows=inputs.hot_rows,
         ),
+        [built["sales_staging"].token],
+        {"min_year": inputs.min_year, "tiebreak": keys},
+    )
+    summary = keep(
+        "summary",
+        lambda: summary_cube(tiles, inputs.geo, modes=inputs.modes, hot_rows=inputs.hot_rows),
+        [built["sales_staging_tiles"].token],
+        {"geo": list(inputs.geo), "modes": list(inputs.modes)},
+        partition_by=export.CUBE_KEYS,
     )
-    if not staged.is_complete(spark, at("summary")):
-        export.export_cube(
-            summary_cube(tiles, inputs.geo, modes=inputs.modes, hot_rows=inputs.hot_rows),
-            at("summary"),
-        )
     out = {
         "annual": annual,
         "deeds": deeds,
@@ -476,7 +527,7 @@ def run(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
         "crosswalk": crosswalk,
         "sales_staging": staging,
         "sales_staging_tiles": tiles,
-        "summary": spark.read.parquet(at("summary")),
+        "summary": summary,
         "crosswalk_missing": coverage_report(annual, crosswalk, "PropertyID"),
         "crosswalk_duplicates": duplicates(crosswalk, "PropertyID"),
     }
@@ -484,4 +535,7 @@ def run(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
         out["history"] = take(
             "history", inputs.history, schemas.HISTORY, qualifying_history, clean_history
         )
+    told = [(name, b.manifest.rows, b.reason) for name, b in built.items()]
+    told.append(("crosswalk", crosswalk.count(), "grown" if places.new_keys else None))
+    out["stages"] = spark.createDataFrame(told, "stage string, rows long, reason string")
     return out | checks

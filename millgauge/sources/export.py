@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 
 from millgauge.operators.summary import Mode, one_table
 
+#: The columns that tell the tables of a cube apart.
+CUBE_KEYS = ("mode", "bin_family")
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write one dataset, replacing an earlier one. CSV carries a header."""
@@ -28,7 +31,7 @@ def export_tables(named: Mapping[str, DataFrame], directory: str, fmt: str = "cs
     return paths
 
 
-def export_cube(cube: DataFrame, directory: str, keys: Sequence[str] = ("mode", "bin_family")) -> None:
+def export_cube(cube: DataFrame, directory: str, keys: Sequence[str] = CUBE_KEYS) -> None:
     """The whole cube as one partitioned parquet dataset: one job, one directory per table."""
     cube.write.mode("overwrite").partitionBy(*keys).parquet(directory)
 

@@ -111,15 +111,18 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def compact(
-    spark: SparkSession, source: str, target: str, target_bytes: int = 512 * 1024 * 1024
+    spark: SparkSession, source: str | Sequence[str], target: str, target_bytes: int = 512 * 1024 * 1024
 ) -> DataFrame:
-    """Rewrite a dataset of many parts into files of about ``target_bytes``."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    size = fs.getContentSummary(hadoop).getLength()
+    """Rewrite a dataset of many parts, or several datasets of one kind, into files of about ``target_bytes``."""
+    sources = [source] if isinstance(source, str) else list(source)
+    size = 0
+    for path in sources:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        size += fs.getContentSummary(hadoop).getLength()
     files = max(1, math.ceil(size / target_bytes))
     (
-        spark.read.parquet(source)
+        spark.read.parquet(*sources)
         .coalesce(files)
         .write.mode("overwrite")
         .option("compression", "snappy")

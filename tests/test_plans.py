@@ -291,3 +291,46 @@ def test_county_index_is_balanced(frame):
     # a last year that the county file already holds is not added again
     inside = dimensions.index_levels(counties, county, metro, nonmetro, state, last_year=2022)
     assert inside.count() == 2 * 23 == inside.select("county_fips", "year").distinct().count()
+
+
+def reasons(out):
+    return {r.stage: r.reason for r in out["stages"].collect()}
+
+
+def test_stages_are_rebuilt_when_what_they_are_built_from_changes(spark, outcome, tmp_path):
+    inputs, out, annual, deeds = outcome
+    assert set(reasons(out).values()) == {"missing", "grown"}
+    own = replace(
+        inputs,
+        annual=write_raw(tmp_path / "annual.txt", schemas.ANNUAL, annual),
+        deeds=write_raw(tmp_path / "deeds.txt", schemas.DEEDS, deeds),
+        work=str(tmp_path / "work"),
+        history=None,
+    )
+    first = etl.run(spark, own)
+    assert set(reasons(etl.run(spark, own)).values()) == {None}
+    later = etl.run(spark, replace(own, min_year=2020))
+    assert {k for k, v in reasons(later).items() if v == "stale"} == {"ranked_sales", "sales_staging", "sales_staging_tiles", "summary"}
+    assert later["ranked_sales"].where("SaleRecordingYear < 2020").isEmpty()
+    with open(own.deeds, "a") as file:  # a row without an amount: the file changes, its rows do not
+        file.write("\n")
+    back = etl.run(spark, own)
+    assert reasons(back)["deeds"] == "stale" and reasons(back)["annual"] is None
+    assert back["summary"].count() == first["summary"].count() and back["deeds_count"].first().matches
+
+
+def test_new_parcels_alone_are_geocoded(spark, outcome, tmp_path):
+    inputs, out, annual, _ = outcome
+    half = write_raw(tmp_path / "half.txt", schemas.ANNUAL, annual[::2])
+    whole = write_raw(tmp_path / "whole.txt", schemas.ANNUAL, annual)
+    grown = []
+    for path in (half, whole, whole):
+        roll = etl.clean_annual(etl.read_delimited(spark, path, schemas.ANNUAL))
+        grown.append(etl.refresh_crosswalk(spark, roll, inputs, str(tmp_path / "crosswalk")))
+    assert [g.segments for g in grown] == [1, 2, 2] and grown[2].new_keys == 0 and grown[1].new_keys < len(annual)
+    columns = sorted(c for c in out["crosswalk"].columns)
+    same = [sorted(tuple(map(str, r)) for r in df.select(*columns).collect()) for df in (out["crosswalk"], grown[2].rows)]
+    assert same[0] == same[1]
+    other = replace(inputs, layers=[replace(inputs.layers[0], cell=0.5)])
+    anew = etl.refresh_crosswalk(spark, roll, other, str(tmp_path / "crosswalk"))
+    assert anew.segments == 1 and anew.rows.count() == grown[2].rows.count()
