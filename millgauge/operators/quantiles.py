@@ -8,19 +8,20 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from millgauge.operators.heavy import HOT_ROWS, Running, attach, running_totals
-from millgauge.operators.selection import FETCH_ROWS, interpolated, long_values, quantile_ranks, select_ranks, value_bins
+from millgauge.operators.heavy import HOT_ROWS, Running, attach, has_heavy, running_totals
+from millgauge.operators.selection import (
+    FETCH_ROWS,
+    between,
+    interpolated,
+    listed_quantiles,
+    long_values,
+    quantile_ranks,
+    select_ranks,
+    value_bins,
+)
 from millgauge.sources.staged import cut_lineage
 
 
-def _interpolate(ranked: Column, prob: float, size: Column) -> Column:
-    """Linear interpolation between the two order statistics around ``prob * (n - 1)``."""
-    at = F.lit(prob) * (size - 1)
-    low, high = F.floor(at), F.ceil(at)
-    below, above = F.element_at(ranked, low), F.element_at(ranked, high)
-    return F.when((low == high) | (below == above), below).otherwise((high - at) * below + (at - low) * above)
-
-
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -29,17 +30,18 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: one array column per measure in ``probs``.
 
-    Digit-wise selection over staged narrow columns: a group costs a bounded number of counts, whatever its
-    size. A group without values gives one row of nulls. ``hot_rows`` sets from which number of rows a
-    bin is split again instead of fetched; results do not depend on it.
+    With a group of more than ``hot_rows`` rows (at most 10,000) the narrow columns are staged and the
+    quantiles selected digit by digit: a group costs a bounded number of counts, whatever its size. Else
+    every group is a sorted list of at most that length. Both give a group without values a row of nulls.
     """
-    staged = cut_lineage(df.select(*by, *probs), "measures")
-    long = long_values(staged, by, list(probs))
-    bins = cut_lineage(value_bins(long, by), "bins")
+    narrow = df.select(*by, *probs)
     fetch_rows = min(hot_rows or FETCH_ROWS, FETCH_ROWS)
-    found = select_ranks(bins, long, by, quantile_ranks(list(probs.values())), fetch_rows)
-    table = interpolated(found, by, probs)
-    return join_null_safe(bins.select(*by).distinct(), table, by) if by else table
+    if not has_heavy(narrow, by, fetch_rows):
+        return listed_quantiles(narrow, by, probs)
+    narrow = cut_lineage(narrow, "measures")
+    long = long_values(narrow, by, list(probs))
+    found = select_ranks(value_bins(long, by), long, by, quantile_ranks(list(probs.values())), fetch_rows)
+    return interpolated(found, by, probs)
 
 
 def exact_quantiles_sorted(
@@ -78,7 +80,7 @@ def exact_quantiles_sorted(
     )
     found = found.select(
         *by,
-        F.array(*[_interpolate(F.col("_ranked"), float(p), F.col("_n")) for p in probs]).alias(value),
+        F.array(*[between(lambda r: F.element_at("_ranked", r), F.col("_n"), p) for p in probs]).alias(value),
     )
     return found if groups is None else join_null_safe(groups, found, by)
 

@@ -4,9 +4,12 @@ Every value has a first digit that does not depend on its group: the logarithm o
 with its sign. A first pass counts (group, measure, digit), merged map-side, with the least and greatest
 value of each such bin. Running sums over the bins of a group tell which bin holds each wanted rank. A bin
 of one distinct value answers at once; a bin of few rows is fetched; a larger one is split into equal
-steps between its least and greatest value and counted again. So a group costs a few thousand counts, whatever its
+steps between its least and greatest value and counted again. So a group costs some hundred counts, whatever its
 size, and no task holds the values of a group.
 
+Where every group is as small as a bin that would be fetched, there is nothing to split: the groups are
+fetched at once, as sorted lists.
+
 Digits need only be monotone, as bins carry their own bounds: logarithms, and differences and quotients of
 doubles, never decrease when their argument grows.
 """
@@ -15,12 +18,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from millgauge.sources.staged import cut_lineage
 
 #: First digits per doubling of a value, and equal steps of a bin that is split.
-STEPS_PER_OCTAVE, SPLIT = 1_024, 4_096
+STEPS_PER_OCTAVE, SPLIT = 64, 4_096
 #: A bin of at most this many rows is fetched instead of split.
 FETCH_ROWS = 10_000
 #: Tables of open bins of up to this many rows are broadcast; they are counted first.
@@ -82,29 +85,36 @@ def select_ranks(
     """(by, _m, _size, _r, _v): the values of the wanted ranks (from 0) of every group and measure.
 
     ``bins`` come from ``value_bins`` over ``values`` (by, _m, _d, _v), a table or cheap to read again.
-    ``ranks`` gives the array of ranks for a number of values and may look at ``_m``. Groups without values are
-    missing. Each round reads the values once; a round splits every open bin into up to 4,096, and two
-    distinct values of a bin always part, so rounds are few.
+    ``ranks`` gives the array of ranks for a number of values and may look at ``_m``. A group and measure without
+    values has a row of nulls. Each round reads the values once; a round splits every open bin into up to
+    4,096, and two distinct values of a bin always part, so rounds are few.
     """
     group = W.partitionBy(*by, "_m")
     before = group.orderBy("_d").rowsBetween(W.unboundedPreceding, -1)
-    placed = bins.where("_n > 0").withColumns(
+    placed = bins.withColumns(
         {"_from": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_size": F.sum("_n").over(group)}
     )
-    placed = placed.withColumn("_wanted", ranks(F.col("_size")))
+    placed = placed.withColumn("_wanted", F.when(F.col("_size") > 0, ranks(F.col("_size"))))
+    one, few = F.col("_lo") == F.col("_hi"), F.col("_n") <= fetch_rows
     found = None
     while True:
         inside = F.filter("_wanted", lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_n")))
-        kept = placed.withColumn("_wanted", F.array_distinct(inside)).where(F.size("_wanted") > 0)
-        kept = cut_lineage(kept.select(*by, *BIN, "_size", "_n", "_lo", "_hi", "_from", "_wanted"), "bins")
-        one, few = F.col("_lo") == F.col("_hi"), F.col("_n") <= fetch_rows
-        n_few, n_many = kept.agg(F.count_if(~one & few), F.count_if(~one & ~few)).first()
-        answered = kept.where(one).select(*by, "_m", "_size", F.explode("_wanted").alias("_r"), F.col("_lo").alias("_v"))
+        kept = placed.withColumn("_wanted", F.array_distinct(inside)).where((F.size("_wanted") > 0) | (F.col("_size") == 0))
+        kept = kept.select(*by, *BIN, "_size", "_n", "_lo", "_hi", "_from", "_wanted")
+        seen = Observation()
+        watched = kept.observe(seen, F.count_if(~one & few).alias("few"), F.count_if(~one & ~few).alias("many"))
+        kept = cut_lineage(watched, "bins")
+        n_few, n_many = seen.get["few"], seen.get["many"]
+        answered = kept.where(one | (F.col("_size") == 0)).select(
+            *by, "_m", "_size", F.explode_outer("_wanted").alias("_r"), F.col("_lo").alias("_v")
+        )
         found = answered if found is None else found.unionByName(answered)
         within = F.col("_v").between(F.col("_lo"), F.col("_hi"))
         if n_few:
-            fetched = match(values, kept.where(~one & few), [*by, *BIN], n_few <= BROADCAST_ROWS).where(within)
-            listed = fetched.groupBy(*by, *BIN, "_size", "_from", "_wanted").agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
+            wanted = kept.where(~one & few).select(*by, *BIN, "_size", "_lo", "_hi", "_from", "_wanted")
+            fetched = match(values, wanted, [*by, *BIN], n_few <= BROADCAST_ROWS).where(within)
+            held = [F.first(c).alias(c) for c in ("_size", "_wanted")]
+            listed = fetched.groupBy(*by, *BIN, "_from").agg(F.sort_array(F.collect_list("_v")).alias("_vs"), *held)
             listed = listed.withColumn("_r", F.explode("_wanted"))
             picked = F.get("_vs", (F.col("_r") - F.col("_from")).cast("int")).alias("_v")
             found = found.unionByName(listed.select(*by, "_m", "_size", "_r", picked))
@@ -113,8 +123,9 @@ def select_ranks(
         opened = kept.where(~one & ~few).drop("_n")
         split = match(values, opened, [*by, *BIN], n_many <= BROADCAST_ROWS).where(within)
         part = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SPLIT)
-        counted = split.groupBy(*by, *BIN, "_size", "_from", "_wanted", part.alias("_part")).agg(
-            F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        held = [F.first(c).alias(c) for c in ("_size", "_wanted")]
+        counted = split.groupBy(*by, *BIN, "_from", part.alias("_part")).agg(
+            F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *held
         )
         line = W.partitionBy(*by, *BIN, "_from").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
         placed = counted.withColumn("_from", F.col("_from") + F.coalesce(F.sum("_n").over(line), F.lit(0)))
@@ -133,19 +144,32 @@ def quantile_ranks(probs: Sequence[Sequence[float]]) -> Callable[[Column], Colum
     return wanted
 
 
+def between(at: Callable[[Column], Column], size: Column, prob: float) -> Column:
+    """Linear interpolation between the two order statistics around ``prob * (size - 1)``."""
+    spot = F.lit(float(prob)) * (size - 1)
+    low, high = F.floor(spot), F.ceil(spot)
+    below, above = at(low), at(high)
+    return F.when((low == high) | (below == above), below).otherwise((high - spot) * below + (spot - low) * above)
+
+
 def interpolated(found: DataFrame, by: Sequence[str], probs: Mapping[str, Sequence[float]]) -> DataFrame:
     """One array column of linearly interpolated quantiles per measure; null without values."""
-    place = F.map_from_entries(F.array_distinct(F.collect_list(F.struct("_r", "_v")))).alias("_ranked")
-    ranked = found.groupBy(*by, "_m", "_size").agg(place)
-
-    def at(p: float) -> Column:
-        spot = F.lit(float(p)) * (F.col("_size") - 1)
-        low, high = F.floor(spot), F.ceil(spot)
-        below, above = F.element_at("_ranked", low), F.element_at("_ranked", high)
-        return F.when((low == high) | (below == above), below).otherwise((high - spot) * below + (spot - low) * above)
-
-    columns = [
-        F.first(F.when(F.col("_m") == i, F.array(*[at(p) for p in ps])), ignorenulls=True).alias(m)
-        for i, (m, ps) in enumerate(probs.items())
-    ]
+    entry = F.when(F.col("_r").isNotNull(), F.struct("_r", "_v"))
+    ranked = found.groupBy(*by, "_m", "_size").agg(F.map_from_entries(F.array_distinct(F.collect_list(entry))).alias("_ranked"))
+    ranked = ranked.withColumn("_size", F.when(F.col("_size") > 0, F.col("_size")))
+    at = lambda rank: F.element_at("_ranked", rank)
+    columns = []
+    for i, (m, ps) in enumerate(probs.items()):
+        own = (F.col("_m") == i) & F.col("_size").isNotNull()
+        columns.append(F.first(F.when(own, F.array(*[between(at, F.col("_size"), p) for p in ps])), ignorenulls=True).alias(m))
     return ranked.groupBy(*by).agg(*columns)
+
+
+def listed_quantiles(df: DataFrame, by: Sequence[str], probs: Mapping[str, Sequence[float]]) -> DataFrame:
+    """The same for groups that are all small enough to be fetched, in one aggregation."""
+    listed = df.groupBy(*by).agg(*[F.sort_array(F.collect_list(F.col(m).cast("double"))).alias(m) for m in probs])
+    columns = []
+    for m, ps in probs.items():
+        at = lambda rank, m=m: F.get(m, rank.cast("int"))
+        columns.append(F.when(F.size(m) > 0, F.array(*[between(at, F.size(m), p) for p in ps])).alias(m))
+    return listed.select(*by, *columns)

@@ -8,12 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millgauge.functions.bins import quantile_of_percentile
-from millgauge.operators.heavy import HOT_ROWS
+from millgauge.operators.heavy import HOT_ROWS, has_heavy
 from millgauge.operators.quantiles import join_null_safe
 from millgauge.operators.ranks import percentile_rank
 from millgauge.operators.selection import (
     FETCH_ROWS,
     interpolated,
+    listed_quantiles,
     long_values,
     merged_bins,
     quantile_ranks,
@@ -61,33 +62,39 @@ POOLED = Mode(
 
 @dataclass(frozen=True)
 class State:
-    """What summaries need of some rows, in tables that merge: no later step goes back to all measures.
+    """What summaries need of some rows, by finest group: tables that merge into coarser groups.
 
-    ``groups`` holds counts and, per measure, number, sum and squared deviations of each finest group;
-    ``bins`` the counts of first digits, for exact medians; ``ids`` the distinct ids. Distinct ids are kept as
-    rows: a bitmap aggregate takes four kilobytes for each group and range of 32,768 ids, which
-    is more than the few ids that a finest group has of a range.
+    ``groups`` holds counts and, per measure, number, sum and squared deviations; ``bins`` the counts of first
+    digits, for exact medians of large groups; ``ids`` the ids, made distinct once per coarser group. They stay rows: a
+    bitmap aggregate takes four kilobytes for each group and range of 32,768 ids, more than the few ids that
+    a finest group has of a range.
     """
 
     rows: DataFrame
     keys: Sequence[str]
     measures: Sequence[str]
-    groups: DataFrame
-    bins: DataFrame
-    ids: DataFrame
+
+    @property
+    def groups(self) -> DataFrame:
+        moments = [F.count(F.lit(1)).alias("_count")]
+        for i, m in enumerate(self.measures):
+            squares = F.var_pop(m) * F.count(m)
+            moments += [F.count(m).alias(f"_n{i}"), F.sum(m).alias(f"_s{i}"), squares.alias(f"_q{i}")]
+        return self.rows.groupBy(*self.keys).agg(*moments)
+
+    @property
+    def ids(self) -> DataFrame:
+        return self.rows.select(*self.keys, "_id")
+
+    @property
+    def bins(self) -> DataFrame:
+        return value_bins(long_values(self.rows, self.keys, self.measures), self.keys)
 
 
 def summary_state(rows: DataFrame, keys: Sequence[str], id_col: str, measures: Sequence[str]) -> State:
     """The mergeable state of the finest groups ``keys``. The rows are staged, so they are evaluated once."""
-    rows = cut_lineage(rows.select(id_col, *keys, *[F.col(m).cast("double").alias(m) for m in measures]), "summary_rows")
-    moments = [F.count(F.lit(1)).alias("_count")]
-    for i, m in enumerate(measures):
-        squares = F.var_pop(m) * F.count(m)
-        moments += [F.count(m).alias(f"_n{i}"), F.sum(m).alias(f"_s{i}"), squares.alias(f"_q{i}")]
-    groups = cut_lineage(rows.groupBy(*keys).agg(*moments), "summary_groups")
-    bins = cut_lineage(value_bins(long_values(rows, keys, measures), keys), "summary_bins")
-    ids = rows.select(*keys, F.col(id_col).alias("_id")).distinct()
-    return State(rows, keys, measures, groups, bins, ids)
+    narrow = rows.select(F.col(id_col).alias("_id"), *keys, *[F.col(m).cast("double").alias(m) for m in measures])
+    return State(cut_lineage(narrow, "summary_rows"), keys, measures)
 
 
 def roll_up(
@@ -98,16 +105,26 @@ def roll_up(
     column: Callable[[str], Column],
     counted: Sequence[str],
     unique: str,
-    hot_rows: int | None = None,
+    large: bool,
+    fetch_rows: int = FETCH_ROWS,
 ) -> DataFrame:
     """Summary tables from the state: counts, distinct ids, sums, means, medians, standard deviations.
 
+    Medians come from sorted lists, or, if some group is ``large`` (of more than ``fetch_rows`` rows), from digits
+    counted per finest group and merged.
+
     ``expand`` gives a row of the finest groups once for each coarser group ``by`` that it belongs to, with the
     columns it came with. ``column`` names, per expanded row, the measure of the state that a wanted measure
     stands for. Deviations of a group are those inside its parts and those of the parts' means, so nothing large cancels.
     """
     of = list(state.measures)
 
+    def of_measure(measure: str) -> Column:
+        out = F.lit(None).cast("double")
+        for name in of:
+            out = F.when(column(measure) == name, F.col(name)).otherwise(out)
+        return out
+
     def cell(prefix: str, measure: str) -> Column:
         out = F.lit(None)
         for i, name in enumerate(of):
@@ -138,17 +155,19 @@ def roll_up(
     if not medians:
         return table
 
-    def renamed(df: DataFrame) -> DataFrame:
-        """The rows of digits or values, numbered by the wanted measures that they serve."""
-        hits = [F.when(column(m) == F.element_at(F.array(*map(F.lit, of)), F.col("_m") + 1), F.lit(i)) for i, m in enumerate(medians)]
-        numbered = expand(df).withColumn("_m", F.explode(F.array_compact(F.array(*hits))))
-        return numbered.select(*by, "_m", *[c for c in df.columns if c not in (*state.keys, "_m")])
-
-    bins = cut_lineage(merged_bins(renamed(state.bins), by), "bins")
-    values = renamed(long_values(state.rows, state.keys, of))
+    wide = expand(state.rows).select(*by, *[of_measure(m).alias(m) for m in medians])
     probs = {m: [0.5] for m in medians}
-    found = select_ranks(bins, values, by, quantile_ranks(list(probs.values())), min(hot_rows or FETCH_ROWS, FETCH_ROWS))
-    exact = interpolated(found, by, probs).select(*by, *[F.col(m)[0].alias(f"{m}_median") for m in medians])
+    if not large:
+        exact = listed_quantiles(wide, by, probs)
+    else:
+        # the digits of a measure of the state serve those wanted measures that stand for it
+        serves = [F.when(column(m) == F.get(F.array(*map(F.lit, of)), F.col("_m")), F.lit(i)) for i, m in enumerate(medians)]
+        bins = expand(state.bins).withColumn("_m", F.explode(F.array_compact(F.array(*serves))))
+        found = select_ranks(
+            merged_bins(bins, by), long_values(wide, by, medians), by, quantile_ranks(list(probs.values())), fetch_rows
+        )
+        exact = interpolated(found, by, probs)
+    exact = exact.select(*by, *[F.col(m)[0].alias(f"{m}_median") for m in medians])
     return join_null_safe(table, exact, by)
 
 
@@ -162,12 +181,14 @@ def summarise(
 ) -> DataFrame:
     """Counts, distinct ids, sums, means, medians and standard deviations per group.
 
-    All come from a mergeable state, whose size in a task does not depend on how many rows a group has:
-    moments merge map-side, medians are selected digit by digit, and distinct ids are counted after a distinct that
-    can spill. ``hot_rows`` sets from which number of rows a bin of values is split again instead of fetched.
+    All come from a mergeable state: moments merge map-side, distinct ids are counted after a distinct that can
+    spill, and medians are sorted lists where no group has more than ``hot_rows`` rows (at most 10,000), else
+    selected digit by digit.
     """
+    fetch_rows = min(hot_rows or FETCH_ROWS, FETCH_ROWS)
     state = summary_state(df, by, id_col, list(measures))
-    return roll_up(state, lambda rows: rows, by, measures, F.lit, counted, f"{id_col}_nunique", hot_rows)
+    large = has_heavy(state.rows, by, fetch_rows)
+    return roll_up(state, lambda rows: rows, by, measures, F.lit, counted, f"{id_col}_nunique", large, fetch_rows)
 
 
 def with_ratios(df: DataFrame) -> DataFrame:
@@ -249,14 +270,20 @@ def summary_cube(
     ``quantile_bins`` maps a bin family to its number of groups; they are ranked by sale price
     within period and the first geography column, highest price first. The tiles are evaluated once, into
     the state of the finest groups (mode, period, geography and all bins together); every bin family is rolled up
-    from that state, so a sale is not repeated per family. Families of quantile groups use the
-    rate in money of the year, the others that of the mode.
+    from that state. Every summary group lies inside one (mode, period, geography) group, so one look at their sizes
+    serves the ranks and the medians. Families of quantile groups use the rate in money of the year, the
+    others that of the mode.
     """
     groups = {"SaleAmt_Decile": 10, "SaleAmt_Quintile": 5} if quantile_bins is None else quantile_bins
     rows = mode_rows(tiles, geo, static_bins, modes, id_col, measures)
+    market = ["mode", "period", geo[0]]
+    hot = hot_rows or HOT_ROWS
+    fetch_rows = min(hot, FETCH_ROWS)
+    large = has_heavy(rows, market, fetch_rows)
     if groups:
-        rows = cut_lineage(rows, "cube_rows")  # the ranks look for heavy groups before they are computed
-        rows = percentile_rank(rows, "SaleAmt", ["mode", "period", geo[0]], id_col, "_percentile", hot_rows)
+        if large:
+            rows = cut_lineage(rows, "cube_rows")  # the ranks look again, and slicing passes over the rows often
+        rows = percentile_rank(rows, "SaleAmt", market, id_col, "_percentile", hot if large else None)
         rows = rows.withColumns({name: quantile_of_percentile(F.col("_percentile"), k).cast("string") for name, k in groups.items()})
     families = [*static_bins, *groups]
     nominal = [*groups] if groups and "TaxRate" in measures else []
@@ -275,7 +302,7 @@ def summary_cube(
 
     by = ["mode", "bin_family", *geo, "bin", "period"]
     counted = [c for c in COUNTED if c in measures]
-    table = roll_up(state, expand, by, measures, column, counted, f"{id_col}_nunique", hot_rows)
+    table = roll_up(state, expand, by, measures, column, counted, f"{id_col}_nunique", large, fetch_rows)
     return with_totals(with_ratios(table), ["mode", "bin_family"], geo)
 
 

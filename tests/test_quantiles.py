@@ -77,8 +77,9 @@ def test_first_digits_never_decrease(spark):
 
 def test_no_task_holds_the_values_of_a_group(spark):
     df = spark.createDataFrame(sample(spark)[0])
-    plan = q.exact_quantiles(df, ["g"], {"v": [0.5]})._jdf.queryExecution().optimizedPlan().toString()
-    assert "percentile" not in plan and "median" not in plan
+    for fetch in (None, 20):
+        plan = q.exact_quantiles(df, ["g"], {"v": [0.5]}, fetch)._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile" not in plan and "median" not in plan
 
 
 def test_whole_table_quantiles(spark):
@@ -159,7 +160,8 @@ def test_margin_of_error(frame):
 
 
 def test_quantile_scan_reads_only_needed_columns(spark, monkeypatch):
-    """What is staged is read with the needed columns alone, and everything later reads the stage."""
+    """Also where rows are staged: everything later reads the stage."""
+    needed = "ReadSchema: struct<o_orderstatus:string,o_totalprice:double>"
     plans = []
 
     def recorded(df, name="cut"):
@@ -168,6 +170,8 @@ def test_quantile_scan_reads_only_needed_columns(spark, monkeypatch):
 
     monkeypatch.setattr(q, "cut_lineage", recorded)
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
-    out = q.exact_quantiles(df, ["o_orderstatus"], {"o_totalprice": [0.5]})
-    assert "ReadSchema: struct<o_orderstatus:string,o_totalprice:double>" in plans[0]
-    assert "orders.parquet" not in plans[1] + out._jdf.queryExecution().executedPlan().toString()
+    small = q.exact_quantiles(df, ["o_orderstatus"], {"o_totalprice": [0.5]})
+    assert needed in small._jdf.queryExecution().executedPlan().toString() and not plans
+    large = q.exact_quantiles(df, ["o_orderstatus"], {"o_totalprice": [0.5]}, 10)
+    assert needed in plans[0] and "orders.parquet" not in large._jdf.queryExecution().executedPlan().toString()
+    assert small.orderBy("o_orderstatus").collect() == large.orderBy("o_orderstatus").collect()
