@@ -35,9 +35,7 @@ def recency_rank(
     date sort last and do not use up a rank.
     """
     ranked = running_totals(df, keys, [Running("_rank", newest_first(df, date, tiebreak))], hot_rows)
-    return ranked.withColumn(
-        into, F.when(F.col(date).isNotNull(), F.col("_rank")).cast("int")
-    ).drop("_rank")
+    return ranked.withColumn(into, F.when(F.col(date).isNotNull(), F.col("_rank"))).drop("_rank")
 
 
 def latest(
@@ -133,9 +131,7 @@ def global_rank(
     """Row number over the whole table, highest value = 1; a null value gets no rank."""
     order = [F.col(value).isNull(), -F.col(value), F.col(tiebreak)]
     ranked = running_totals(df, [], [Running("_rank", order)], hot_rows)
-    return ranked.withColumn(
-        into, F.when(F.col(value).isNotNull(), F.col("_rank")).cast("int")
-    ).drop("_rank")
+    return ranked.withColumn(into, F.when(F.col(value).isNotNull(), F.col("_rank"))).drop("_rank")
 
 
 def dense_rank_values(
@@ -147,7 +143,7 @@ def dense_rank_values(
     """
     distinct = df.select(value).where(F.col(value).isNotNull()).distinct()
     ranks = running_totals(distinct, [], [Running(into, [F.col(value)])], hot_rows)
-    return df.join(ranks.withColumn(into, F.col(into).cast("int")), value, "left")
+    return df.join(ranks, value, "left")
 
 
 def group_total(df: DataFrame, by: Sequence[str], measure: Column, into: str) -> DataFrame:

@@ -18,7 +18,7 @@ from millgauge.operators.joins import Level, equi_join, fallback_lookup, role_lo
 from millgauge.operators.panel import deflate
 from millgauge.operators.quality import coverage_report, duplicates
 from millgauge.operators.ranks import percentile_ranks
-from millgauge.operators.recency import recency_ranks
+from millgauge.operators.recency import newest_per_period
 from millgauge.operators.spatial import Layer, layered_join, located_only
 from millgauge.operators.summary import POOLED, SNAPSHOT, Mode, summary_cube
 from millgauge.sources import export, staged
@@ -192,26 +192,17 @@ def flag_sales(deeds: DataFrame) -> DataFrame:
     )
 
 
-def rank_sales(deeds: DataFrame, min_year: int = MIN_YEAR, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """The newest deed per property and year, if it is a qualifying sale.
+def rank_sales(deeds: DataFrame, min_year: int = MIN_YEAR) -> DataFrame:
+    """The newest deed per property and recording year, if it is a qualifying sale.
 
     Ranks run over all deeds, so a newer non-qualifying deed hides an older sale. Ties on the
     recording date go to the smaller transaction id.
     """
     recent = deeds.where((F.col("RecordingYear") >= min_year) | (F.col("SaleYear") >= min_year))
-    ranked = recency_ranks(
-        flag_sales(recent),
-        "PropertyID",
-        "RecordingYear",
-        "RecordingDate",
-        "FATransactionID",
-        hot_rows=hot_rows,
-    )
-    return ranked.where(
-        (F.col("SaleFlag") == 1)
-        & (F.col("RecentSaleByYear") == 1)
-        & (F.col("SaleRecordingYear") >= min_year)
+    newest = newest_per_period(
+        flag_sales(recent), "PropertyID", "RecordingYear", "RecordingDate", "FATransactionID"
     )
+    return newest.where((F.col("SaleFlag") == 1) & (F.col("SaleRecordingYear") >= min_year))
 
 
 def geocode(
@@ -488,7 +479,7 @@ def run(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
     deeds = take("deeds", inputs.deeds, schemas.DEEDS, qualifying_deeds, clean_deeds)
     ranked = keep(
         "ranked_sales",
-        lambda: rank_sales(deeds, inputs.min_year, inputs.hot_rows),
+        lambda: rank_sales(deeds, inputs.min_year),
         [built["deeds"].token],
         {"min_year": inputs.min_year},
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millgauge.operators import ranks
 from millgauge.operators.heavy import Running, has_heavy, running_totals, split_heavy
-from millgauge.operators.recency import recency_ranks
+from millgauge.operators.recency import newest_per_period, recency_ranks
 from millgauge.plans import etl
 
 DEED = "PropertyID long, FATransactionID string, RecordingDate date, TransactionType string, SaleAmt double"
@@ -25,8 +25,7 @@ def deeds(frame, rows):
     )
 
 
-@pytest.mark.parametrize("hot_rows", [1000, 1])
-def test_a_newer_non_qualifying_deed_hides_an_older_sale(frame, hot_rows):
+def test_a_newer_non_qualifying_deed_hides_an_older_sale(frame):
     d = dt.date
     rows = [
         (1, "1a", d(2019, 3, 1), "2", 10.0),  # hidden by the next one
@@ -38,11 +37,23 @@ def test_a_newer_non_qualifying_deed_hides_an_older_sale(frame, hot_rows):
         (4, "1g", d(2018, 1, 1), "2", 70.0),  # too early
         (5, "1h", None, "2", 80.0),  # no date
     ]
-    out = etl.rank_sales(deeds(frame, rows), hot_rows=hot_rows)
+    out = etl.rank_sales(deeds(frame, rows))
     got = {r.FATransactionID: (r.RecentSaleByYear, r.MostRecentSale) for r in out.collect()}
     assert got == {"1c": (1, 1), "1d": (1, 1)}
 
 
+def test_pruned_ranks_are_those_of_the_full_sort(spark):
+    """Ties within a day, days without a date, null entities, and one entity with most rows."""
+    e = F.when(F.col("id") % 3 != 0, F.lit(1)).when(F.col("id") % 11 != 0, F.col("id") % 17)
+    day = F.when(F.col("id") % 7 != 0, F.date_add(F.lit("2019-01-01"), (F.col("id") * 131 % 1500).cast("int")))
+    df = spark.range(3000).select(e.alias("e"), day.alias("t"), F.year(day).alias("p"), "id")
+    pruned = newest_per_period(df, "e", "p", "t", "id")
+    full = recency_ranks(df, "e", "p", "t", "id").where("RecentSaleByYear = 1")
+    assert pruned.dtypes == full.dtypes
+    assert sorted(pruned.collect(), key=str) == sorted(full.collect(), key=str)
+    assert "WindowGroupLimit" in pruned._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("hot_rows", [1000, 2])
 def test_undated_rows_have_no_rank_and_use_none_up(frame, hot_rows):
     d = dt.date

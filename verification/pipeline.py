@@ -203,7 +203,7 @@ TILE_LABELS = (
     "staged_sales",
     f"""WITH {TO_STAGING}
     SELECT "PropertyID", CAST("SaleRecordingYear" AS INTEGER) AS "SaleRecordingYear", "FATransactionID", "SaleAmt", "TaxAmt",
-      CAST("MostRecentSale" AS INTEGER) AS "MostRecentSale", city_geoid, round(sale_index, 7) AS sale_index,
+      "MostRecentSale", city_geoid, round(sale_index, 7) AS sale_index,
       round(assd_index, 7) AS assd_index, round(market_index, 7) AS market_index FROM staging""",
 )
 def staged_sales(spark, d):
@@ -373,7 +373,7 @@ def micro(spark, d):
 @case(
     "city_spread",
     f"""WITH {BUSY}, spread AS (SELECT city_state, quantile_cont("TaxRate", 0.75) - quantile_cont("TaxRate", 0.25) AS iqr FROM micro GROUP BY 1),
-    placed AS (SELECT *, CAST(dense_rank() OVER (ORDER BY iqr) AS INTEGER) AS r FROM spread)
+    placed AS (SELECT *, dense_rank() OVER (ORDER BY iqr) AS r FROM spread)
     SELECT "PropertyID", city_state, round(iqr, 9) AS "IQR_city", r AS "IQR_rank",
       CASE WHEN r <= 5 THEN 1 WHEN r <= 10 THEN 2 WHEN r <= 15 THEN 3 ELSE 4 END AS "IQR_quartile",
       CAST(ntile(5) OVER (PARTITION BY city_state ORDER BY "SaleAmt", "PropertyID") AS INTEGER) AS sale_quintile

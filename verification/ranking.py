@@ -17,10 +17,10 @@ from verification.standins import DEEDS, MIN_YEAR, RANKED, RATES, deeds, rates,
 
 RANK_SQL = f"""WITH {DEEDS}
 SELECT "FATransactionID" AS sale_id,
-  CAST(row_number() OVER (PARTITION BY "RecordingYear", "PropertyID"
-    ORDER BY "RecordingDate" DESC, "FATransactionID") AS INTEGER) AS recent_in_year,
-  CAST(row_number() OVER (PARTITION BY "PropertyID"
-    ORDER BY "RecordingDate" DESC, "FATransactionID") AS INTEGER) AS most_recent
+  row_number() OVER (PARTITION BY "RecordingYear", "PropertyID"
+    ORDER BY "RecordingDate" DESC, "FATransactionID") AS recent_in_year,
+  row_number() OVER (PARTITION BY "PropertyID"
+    ORDER BY "RecordingDate" DESC, "FATransactionID") AS most_recent
 FROM deeds"""
 
 
@@ -51,8 +51,8 @@ def recency_rank_heavy(spark, d):
 
 STAMPED_SQL = """WITH stamped AS (SELECT *, CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS BIGINT)) AS seen,
   o_orderkey % 3 AS batch FROM orders)
-SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey, batch ORDER BY seen DESC, o_orderkey) AS INTEGER) AS in_batch,
-  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY seen DESC, o_orderkey) AS INTEGER) AS over_all FROM stamped"""
+SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, batch ORDER BY seen DESC, o_orderkey) AS in_batch,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY seen DESC, o_orderkey) AS over_all FROM stamped"""
 
 
 def _stamped(spark, d, **options):
@@ -75,8 +75,8 @@ def recency_rank_timestamp_heavy(spark, d):
 
 @case(
     "recency_rank_undated",
-    """SELECT o_orderkey, CASE WHEN day IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY o_custkey
-      ORDER BY day DESC NULLS LAST, o_orderkey) AS INTEGER) END AS most_recent
+    """SELECT o_orderkey, CASE WHEN day IS NOT NULL THEN row_number() OVER (PARTITION BY o_custkey
+      ORDER BY day DESC NULLS LAST, o_orderkey) END AS most_recent
     FROM (SELECT *, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders)""",
 )
 def recency_rank_undated(spark, d):
@@ -166,7 +166,7 @@ def _with_nation(spark, d):
     "rank_quartile",
     """WITH spread AS (SELECT c_nationkey, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 4) AS iqr
       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
-    placed AS (SELECT *, CAST(dense_rank() OVER (ORDER BY iqr) AS INTEGER) AS iqr_rank FROM spread)
+    placed AS (SELECT *, dense_rank() OVER (ORDER BY iqr) AS iqr_rank FROM spread)
     SELECT *, CASE WHEN iqr_rank <= 6 THEN 1 WHEN iqr_rank <= 12 THEN 2 WHEN iqr_rank <= 18 THEN 3 ELSE 4 END AS iqr_quartile
     FROM placed""",
 )
@@ -255,7 +255,7 @@ def dedupe_first(spark, d):
 
 
 CITY_RANK_SQL = """SELECT c_custkey, CASE WHEN balance IS NOT NULL THEN
-    CAST(row_number() OVER (ORDER BY balance DESC NULLS LAST, c_custkey) AS INTEGER) END AS place
+    row_number() OVER (ORDER BY balance DESC NULLS LAST, c_custkey) END AS place
   FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal END AS balance FROM customer)"""
 
 

@@ -419,7 +419,7 @@ def first_n_distinct(spark, d):
 
 @case(
     "sorted_report",
-    """SELECT n_name, customers, CAST(row_number() OVER (ORDER BY customers DESC, region, n_name) AS INTEGER) AS place
+    """SELECT n_name, customers, row_number() OVER (ORDER BY customers DESC, region, n_name) AS place
     FROM (SELECT n_name, n_regionkey AS region, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey
       GROUP BY 1, 2)""",
 )
@@ -431,9 +431,7 @@ def sorted_report(spark, d):
     counted = joined.groupBy("n_name", "n_regionkey").agg(F.count(F.lit(1)).alias("customers"))
     order = [-F.col("customers"), F.col("n_regionkey"), F.col("n_name")]
     placed = running_totals(counted, [], [Running("place", order)])
-    return placed.select("n_name", "customers", F.col("place").cast("int").alias("place")).orderBy(
-        "place"
-    )
+    return placed.select("n_name", "customers", "place").orderBy("place")
 
 
 @case(
