@@ -63,7 +63,7 @@ def by_length(left: pa.Table, right: pa.Table) -> Iterator[tuple]:
 
 def in_cells(left: DataFrame, right: DataFrame, work: Callable, names: list[str], kinds: list[str]) -> DataFrame:
     """Rows that ``work`` gives as numpy columns for the queries and candidates of every cell."""
-    types = {"long": pa.int64(), "double": pa.float64()}
+    types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         found = [work(*part) for part in by_length(a, b)] if len(a) and len(b) else []

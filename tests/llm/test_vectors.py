@@ -1,12 +1,13 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
 from millgauge.llm import vectors as grid_module
 from millgauge.llm.neighbours import distances, nearest, rounded
-from millgauge.llm.top_scores import products, top_scores
+from millgauge.llm.top_scores import products, scaled, top_scores
 
 KIND = "vec_id long, embedding array<float>, id string, v string"
 
@@ -65,10 +66,17 @@ def test_few_or_no_vectors(frame):
     assert nearest(frame([], KIND)).collect() == [] and top_scores(frame([], KIND)).collect() == []
 
 
-def test_huge_components_are_held_at_the_ends(frame):
-    rows = [(0, [3e30, 1.0], "", ""), (1, [3e30, 2.0], "", ""), (2, [-3e30, 2.0], "", ""), (3, [0.0, 1.0], "", "")]
-    found = {r.vec_id: r.score for r in top_scores(frame(rows, KIND)).collect()}
-    assert found == {1: (1 << 61) - 1, 3: 1024 * 1024, 2: -(1 << 61)}
+@pytest.mark.parametrize("top", [3e30, 2.0**31])
+def test_scores_of_any_size_are_ranked_exactly(frame, top):
+    draw = random.Random(4)
+    rows = [(k, [draw.choice([top, -top, 1.0, 0.0, top / 3, 2.0]) * draw.choice([1, 0.5]) for _ in range(3)], "", "") for k in range(40)]
+    whole = {k: [math.floor(1024 * Fraction(x)) for x in v] for k, v, *_ in rows}
+    exact = {k: sum(a * b for a, b in zip(whole[0], w)) for k, w in whole.items() if k}
+    ranked = sorted(exact, key=lambda k: (-exact[k], k))[:10]
+    found = sorted(top_scores(frame(rows, KIND.replace("float", "double"))).collect(), key=lambda r: r.rank)
+    assert [r.vec_id for r in found] == ranked
+    # what does not fit the result is the nearest number that does
+    assert [r.score for r in found] == [min(max(exact[k], -(1 << 63)), (1 << 63) - 1) for k in ranked]
 
 
 def test_rounding_bounds_hold():
@@ -82,7 +90,10 @@ def test_rounding_bounds_hold():
 
 
 def test_large_products_are_exact():
+    far = scaled(np.array([[1e308, -0.3]]), 1024)
+    assert far.tolist() == [[1024 * int(1e308), -308]]
+    assert products(far, far)[0, 0] == (1024 * int(1e308)) ** 2 + 308**2
     a = np.array([[2.0**40, 3.0]])
-    assert products(a, a)[0, 0] == (1 << 61) - 1
+    assert products(a, a)[0, 0] == (1 << 80) + 9
     b = np.array([[2.0**29, 1.0]])
     assert products(b, b)[0, 0] == (1 << 58) + 1
