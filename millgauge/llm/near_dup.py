@@ -187,7 +187,8 @@ def near_duplicates(
     links = None
     for turn in range(PIVOT_ROUNDS + 1):
         if turn < PIVOT_ROUNDS:
-            first = open_rows.groupBy("key").agg(F.min(F.struct("rep", "n", "c", "odd")).alias("p"))
+            # written, so that the join has a shuffle of its own, which can be split at a crowded bucket
+            first = cut_lineage(open_rows.groupBy("key").agg(F.min(F.struct("rep", "n", "c", "odd")).alias("p")), "first")
             met = open_rows.join(first, "key").where(F.col("rep") != F.col("p.rep"))
             pairs = met.where((F.col("c") != F.col("p.c")) & fit("", "p.")).select(
                 F.col("p.rep").alias("a"), F.col("rep").alias("b")
