@@ -1,6 +1,9 @@
 """Documents to packed training sequences: quality, lines, near-duplicates, mixture, packing.
 
-Every stage takes all that its predecessor kept and returns documents, the last one packed pieces.
+Every stage takes all that its predecessor kept and returns documents, the last one packed pieces. Defined
+results for all stages: null texts count as empty; an empty table gives an empty table; columns beyond those of
+documents are carried along by all stages but the last and clash with nothing; every stage says what it
+does with null ids and repeated rows.
 """
 
 from __future__ import annotations
@@ -29,32 +32,56 @@ def with_text(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier accepts; it learns from the same labels as its query."""
+    """The documents that the quality classifier accepts; it learns from the same labels as its query.
+
+    Rows are judged by their text alone, so a null id changes nothing and repeated rows share their fate.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.coalesce(fold(5) != 0, F.lit(False)))
     return keep_good(docs, labels)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the lines that another one had first; one that loses all its words goes."""
+    """The documents without the lines that another one had first; one that loses all its words goes.
+
+    Every row counts as a document, also repeated ones; of ten or more copies the first alone keeps its lines. A row
+    that lost nothing stays, even an empty one.
+    """
     kept = dedup_lines(docs, min_docs=LINE_DOCS, keep_first=True)
     kept = kept.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     return with_text(kept, "kept_text", docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    found = near_duplicates(docs, shingle_words=5, percent=80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of every group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    The smallest id of a group stays. Rows without an id go by a number made of their text, larger than
+    any id, so they are compared like others. Of rows that share an id (or have none) and a text one stays; rows of
+    one id with other texts stay together or go together. Texts without words are alike with nothing.
+    """
+    number = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
+    key = F.coalesce(F.col("doc_id").cast("long"), number)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), "text")
+    found = near_duplicates(keyed, "key", "text", shingle_words=5, percent=80)
+    marks = found.groupBy("key").agg(F.bool_or(~F.col("kept")).alias("gone"), F.count("*").alias("n"))
+    marks = cut_lineage(marks.where("gone or n > 1"), "marks")
+    single = keyed.join(marks, "key", "left_anti").select("row")
+    again = keyed.join(marks.where("not gone"), "key", "left_semi").withColumn("digest", F.sha2("text", 256))
+    return single.unionByName(again.dropDuplicates(["key", "digest"]).select("row")).select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the target weights of their sources ask for."""
+    """The documents as often as the target weights of their sources ask for.
+
+    Null is a source like any other; null ids and repeated rows are documents of their own.
+    """
     return mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as token ids in windows of 2,048."""
+    """The documents as token ids in windows of 2,048.
+
+    Null ids are kept as they are; repeated rows are packed as often as they occur.
+    """
     return pack(docs, tokenizer())
 
 
