@@ -70,3 +70,33 @@ def test_packing_holds_the_mixed_texts(outputs):
 
 def test_run_gives_the_last_stage(spark, outputs):
     assert corpus_pipeline.run(spark, SF).count() == outputs["packing"].count()
+
+
+def odd_documents(spark):
+    """Repeated rows, null ids and texts, ids with several texts, and columns named like those inside the stages."""
+    words = [f"w{k}" for k in range(400)]
+    text = lambda a: " ".join(words[a : a + 90])
+    rows = [(9005, text(0)), (9005, text(0)), (9005, text(0)), (None, text(100)), (None, text(100)), (9006, text(100)), (None, text(200))]
+    rows += [(9007, text(250)), (9007, text(300)), (9008, text(250)), (9009, None), (9009, None), (None, None), (9010, ""), (9011, " ")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, key string, row string, kept string, n int"
+    return spark.createDataFrame([(d, t, "en", None, len(t or ""), "k", "r", "x", 1) for d, t in rows], kind)
+
+
+def test_repeated_rows_and_rows_without_an_id_stay_once(spark):
+    docs = odd_documents(spark)
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert kept.dtypes == docs.dtypes
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    alone = [r.text for r in docs.where("doc_id is null").collect()]
+    expected = [(9005, text[9005]), (9006, text[9006]), (None, alone[2]), (9007, text[9008]), (9007, text[9007])]
+    expected += [(9009, None), (None, None), (9010, ""), (9011, " ")]
+    assert got == sorted(expected, key=str)
+
+
+def test_stages_take_odd_and_empty_tables(spark):
+    for docs in (odd_documents(spark), odd_documents(spark).limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            assert name == "packing" or out.dtypes == docs.dtypes
+            assert docs.isEmpty() <= out.isEmpty()
