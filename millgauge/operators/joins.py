@@ -7,7 +7,7 @@ run time (``spark.sql.adaptive.skewJoin``).
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -84,16 +84,23 @@ class Level:
     values: Mapping[str, str]
 
 
-def fallback_lookup(df: DataFrame, levels: Sequence[Level]) -> DataFrame:
+def left_lookup(df: DataFrame, table: DataFrame, on: Mapping[str, str]) -> DataFrame:
+    return equi_join(df, table, on, "left")
+
+
+def fallback_lookup(
+    df: DataFrame, levels: Sequence[Level], join: Callable[[DataFrame, DataFrame, Mapping[str, str]], DataFrame] = left_lookup
+) -> DataFrame:
     """Fill each output from the first level that has it, independently per output.
 
-    The column's own value counts as level zero. Each level is one left join on a unique key.
+    The column's own value counts as level zero. Each level is one left join on a unique key, made by ``join``;
+    see :func:`millgauge.operators.lookup.skew_safe_lookup` for keys that hold many rows.
     """
     out, found = df, {}
     for i, level in enumerate(levels):
         names = {v: f"_level{i}_{o}" for o, v in level.values.items()}
         side = level.table.select(level.right_on, *level.values.values()).withColumnsRenamed(names)
-        out = equi_join(out, side, {level.left_on: level.right_on}, "left")
+        out = join(out, side, {level.left_on: level.right_on})
         for o, v in level.values.items():
             found.setdefault(o, []).append(names[v])
     filled = {

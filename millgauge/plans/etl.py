@@ -15,6 +15,7 @@ from millgauge.functions import bins, clean
 from millgauge.functions.geo import with_geohash
 from millgauge.operators.heavy import HOT_ROWS
 from millgauge.operators.joins import Level, equi_join, fallback_lookup, role_lookup
+from millgauge.operators.lookup import skew_safe_lookup
 from millgauge.operators.panel import deflate
 from millgauge.operators.quality import coverage_report, duplicates
 from millgauge.operators.ranks import percentile_ranks
@@ -239,6 +240,7 @@ def geocode(
             Level(tracts_2020, "_tract", "tract_fips", {"SitusLongitude": "lon", "SitusLatitude": "lat"}),
             Level(tracts_2010, "_tract", "tract_fips_2010", {"SitusLongitude": "lon_10", "SitusLatitude": "lat_10"}),
         ],
+        join=lambda *side: skew_safe_lookup(*side, hot_rows),
     ).drop("_block_group", "_tract")
     side = counties.select(*COUNTY_COLUMNS).withColumn("_county", F.col("county_fips"))
     placed = equi_join(placed, side, {"FIPS": "_county"}, "left")

@@ -36,10 +36,12 @@ def rings_of(geometry: Column) -> Column:
 def read_geojson(
     spark: SparkSession, path: str, properties: Mapping[str, T.DataType], lines: bool = False
 ) -> DataFrame:
-    """Attributes and ``rings`` of a GeoJSON layer.
+    """Attributes and ``rings`` of a GeoJSON layer, from files of any size in many tasks.
 
-    ``lines=True`` reads one feature per text line, which splits over tasks; a feature collection
-    is one JSON document and is parsed per file.
+    ``lines=True`` reads one feature per text line. Else the files hold feature collections whose features
+    begin with ``"type": "Feature"``, as they are commonly written: the text is cut at that mark instead of
+    at line ends, which Spark splits over tasks like lines, and each cut is parsed up to the end of its feature.
+    A file whose features are written in another order of members is refused.
     """
     fields = T.StructType([T.StructField(n, t) for n, t in properties.items()])
     feature = T.StructType(
@@ -48,19 +50,18 @@ def read_geojson(
     if lines:
         features = spark.read.schema(feature).json(path)
     else:
-        collection = T.StructType([T.StructField("features", T.ArrayType(feature))])
-        features = (
-            spark.read.option("multiLine", True)
-            .schema(collection)
-            .json(path)
-            .select(F.explode("features").alias("f"))
-            .select("f.*")
-        )
+        cuts = spark.read.option("lineSep", '"Feature"').text(path)
+        head = F.rlike("value", F.lit(r'^\s*\{(?s:.*)"FeatureCollection"'))
+        follows = F.rlike("value", F.lit(r"^\s*,"))
+        sound = F.when(~follows, F.raise_error(F.lit("a feature does not begin with its type")))
+        whole = F.concat(F.lit('{"type":"Feature"'), "value")
+        features = cuts.where(~head).select(F.coalesce(sound.cast("string"), whole).alias("value"))
+        features = features.select(F.from_json("value", feature).alias("f")).select("f.*")
     return features.select("properties.*", rings_of(F.col("geometry")).alias("rings"))
 
 
-def write_geojson(df: DataFrame, path: str, rings: str = "rings") -> None:
-    """Write a layer as GeoJSON text, one feature per line.
+def feature_text(df: DataFrame, rings: str = "rings") -> Column:
+    """Each row as the JSON text of a feature.
 
     Counter-clockwise rings start a new polygon part and clockwise rings are its holes, the
     winding :func:`read_geojson` produces. A hole belongs to the shell before it.
@@ -84,7 +85,7 @@ def write_geojson(df: DataFrame, path: str, rings: str = "rings") -> None:
         ),
     )
     attributes = [c for c in df.columns if c != rings]
-    feature = F.to_json(
+    return F.to_json(
         F.struct(
             F.lit("Feature").alias("type"),
             F.struct(*attributes).alias("properties"),
@@ -93,7 +94,11 @@ def write_geojson(df: DataFrame, path: str, rings: str = "rings") -> None:
             ),
         )
     )
-    df.select(feature.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_geojson(df: DataFrame, path: str, rings: str = "rings") -> None:
+    """Write a layer as GeoJSON text, one feature per line."""
+    df.select(feature_text(df, rings).alias("value")).write.mode("overwrite").text(path)
 
 
 def with_centroid(df: DataFrame, lon: str = "lon", lat: str = "lat", rings: str = "rings") -> DataFrame:

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -50,8 +52,8 @@ def test_headerless_and_inferred(spark, tmp_path):
     assert tuple(delimited.read_delimited(spark, str(path), SCHEMA, ",", header=False).first()) == (1, "a", 1.5)
     path = tmp_path / "typed.csv"
     path.write_text("n,day\n" + "1,2020-01-05\n" * 30)
-    sniffed = delimited.read_inferred(spark, str(path), sampling_ratio=1.0)
-    assert dict(sniffed.dtypes) == {"n": "int", "day": "date"}
+    sniffed = delimited.read_inferred(spark, str(path))
+    assert dict(sniffed.dtypes) == {"n": "bigint", "day": "date"}
 
 
 def test_benchmark_rates_money(spark, tmp_path):
@@ -165,3 +167,53 @@ def test_feature_collection_with_unusual_winding(spark, tmp_path):
     layer = polygons.read_geojson(spark, str(path), {"geoid": T.StringType(), "n": T.IntegerType()})
     got = {r.geoid: r.a for r in layer.withColumn("a", polygon_area(F.col("rings"))).collect()}
     assert got == {"1": 12.0, "2": 1.0, "3": None}
+
+
+def test_types_are_found_in_all_rows(spark, tmp_path):
+    """One cell among thousands decides, wherever it stands; nulls decide nothing."""
+    columns = {
+        "whole": ("7", "-12", "bigint"), "mixed": ("7", "1.5e3", "double"), "late": ("7", "n/a", "string"),
+        "long": ("7", "9223372036854775808", "string"), "exact": ("0.5", "9007199254740993", "string"), "nan": ("1.5", "NaN", "string"),
+        "day": ("2020-02-29", "2021-01-01", "date"), "no_day": ("2020-02-28", "2021-02-29", "string"),
+        "time": ("2020-02-29", "2020-02-29 10:00:01.5", "timestamp"), "none": ("", "", "string"),
+    }
+    lines = [",".join(columns)] + [",".join(c[0] for c in columns.values())] * 3_000
+    lines.insert(2_500, ",".join(c[1] for c in columns.values()))
+    lines.insert(1_000, "," * (len(columns) - 1))
+    (tmp_path / "cells.csv").write_text("\n".join(lines) + "\n")
+    found = delimited.read_inferred(spark, str(tmp_path / "cells.csv"))
+    assert dict(found.dtypes) == {n: c[2] for n, c in columns.items()}
+    lost = [n for n in columns if n != "none" and found.where(F.col(n).isNull()).count() != 1]
+    assert not lost and found.where("late = 'n/a'").count() == 1
+
+
+def feature(k, kind="Polygon"):
+    square = [[[k, 0], [k + 1, 0], [k + 1, 1], [k, 1], [k, 0]]]
+    geometry = {"type": kind, "coordinates": square if kind == "Polygon" else [square]}
+    return {"type": "Feature", "properties": {"id": k, "name": f'a "b", {{"type": {k}'}, "geometry": geometry}
+
+
+def test_feature_collections_are_cut_between_features(spark, tmp_path):
+    kinds = {"id": T.LongType(), "name": T.StringType()}
+    layers = {"indented": json.dumps({"type": "FeatureCollection", "features": [feature(k) for k in range(300)]}, indent=1)}
+    layers["dense"] = json.dumps({"type": "FeatureCollection", "features": [feature(k, "MultiPolygon") for k in range(300, 600)]}, separators=(",", ":"))
+    layers["empty"] = json.dumps({"type": "FeatureCollection", "features": []})
+    for name, text in layers.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+        layer = polygons.read_geojson(spark, str(tmp_path), kinds)
+        assert layer.rdd.getNumPartitions() > 3  # more tasks than files
+        rows = {r.id: r for r in layer.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(rows) == list(range(600)) and rows[7].name == 'a "b", {"type": 7'
+    assert all(len(r.rings) == 1 and r.rings[0][0].x == k for k, r in rows.items())
+
+
+def test_features_in_another_order_are_refused(spark, tmp_path):
+    turned = dict(reversed(feature(1).items()))
+    (tmp_path / "a.json").write_text(json.dumps({"type": "FeatureCollection", "features": [turned]}))
+    with pytest.raises(Exception, match="does not begin with its type"):
+        polygons.read_geojson(spark, str(tmp_path), {"id": T.LongType()}).collect()

@@ -16,6 +16,7 @@ from millgauge.operators.joins import (
     role_lookup,
     spine_join,
 )
+from millgauge.operators.lookup import skew_safe_lookup
 from millgauge.operators.reshape import (
     complete,
     first_distinct,
@@ -220,6 +221,41 @@ def fallback(spark, d):
     ).select("c_custkey", "lon", "lat")
 
 
+CROWDED_CODE = "CASE WHEN o_orderkey % 3 = 0 THEN '07-A' WHEN o_orderkey % 5 <> 1 THEN lpad(CAST(o_custkey % 30 AS VARCHAR), 2, '0') || '-' || chr(CAST(65 + o_orderkey % 2 AS INTEGER)) END"
+
+
+@case(
+    "fallback_lookup_heavy",
+    f"""WITH base AS (SELECT o_orderkey, o_custkey % 30 AS k, {CROWDED_CODE} AS code, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey / 64.0::DOUBLE END AS lon FROM orders),
+    fine AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '-' || side AS code, CASE WHEN n_nationkey % 4 <> 3 THEN n_nationkey + 0.5::DOUBLE END AS lon,
+      CASE WHEN side = 'A' THEN n_nationkey - 0.5::DOUBLE END AS lat FROM nation, (VALUES ('A'), ('B')) s(side))
+    SELECT o_orderkey, coalesce(base.lon, fine.lon, n_nationkey + 0.25::DOUBLE) AS lon, coalesce(fine.lat, n_nationkey - 0.25::DOUBLE) AS lat
+    FROM base LEFT JOIN fine ON fine.code = base.code LEFT JOIN nation ON n_nationkey = k""",
+)
+def fallback_lookup_heavy(spark, d):
+    """A third of the orders under one code, a seventh without one: hot keys and nulls do not share a task."""
+    key, n = F.col("o_orderkey"), F.col("n_nationkey")
+    own = F.concat(F.lpad((F.col("o_custkey") % 30).cast("string"), 2, "0"), F.lit("-"), F.when(key % 2 == 0, "A").otherwise("B"))
+    base = table(spark, d, "orders").select(
+        "o_orderkey",
+        (F.col("o_custkey") % 30).alias("k"),
+        F.when(key % 3 == 0, "07-A").when(key % 5 != 1, own).alias("code"),
+        F.when(key % 11 == 0, key / 64.0).alias("lon"),
+    )
+    nation = table(spark, d, "nation")
+    sides = nation.select(n, F.explode(F.array(F.lit("A"), F.lit("B"))).alias("side"))
+    fine = sides.select(
+        F.concat(F.lpad(n.cast("string"), 2, "0"), F.lit("-"), "side").alias("fine_code"),
+        F.when(n % 4 != 3, n + 0.5).alias("x"),
+        F.when(F.col("side") == "A", n - 0.5).alias("y"),
+    )
+    coarse = nation.select(n, (n + 0.25).alias("x"), (n - 0.25).alias("y"))
+    names = {"lon": "x", "lat": "y"}
+    levels = [Level(fine, "code", "fine_code", names), Level(coarse, "k", "n_nationkey", names)]
+    placed = fallback_lookup(base, levels, join=lambda *side: skew_safe_lookup(*side, hot_rows=500))
+    return placed.select("o_orderkey", "lon", "lat")
+
+
 @case(
     "summary_spine_join",
     """WITH a AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1),
