@@ -15,6 +15,7 @@ from millgauge.operators.summary import (
     summary_cube,
 )
 from millgauge.plans import analysis, etl, report, variants
+from millgauge.sources.staged import cut_lineage
 from verification.registry import case, steady, steady_sql
 from verification.standins import (
     CITIES,
@@ -636,3 +637,53 @@ def quintile_report(spark, d):
         REPORT_VALUES,
     )
     return _report(out, report.QUINTILE_LABELS)
+
+
+@case("wide_report", report_sql(SNAPSHOT, "SaleBinsWide", None, report.WIDE_LABELS))
+def wide_report(spark, d):
+    one = summary(tiles(spark, d), GEO, "SaleBinsWide")
+    out = report.bin_report(one, "SaleBinsWide", report.WIDE_LABELS, "Snapshot", REPORT_GEO, REPORT_VALUES)
+    return _report(out, report.WIDE_LABELS)
+
+
+TOTAL_REPORT_SQL = f"""WITH {TO_TILES}, q AS ({cube_part(SNAPSHOT, "Total", None)}),
+  best AS (SELECT *, row_number() OVER (PARTITION BY city_geoid ORDER BY "count" DESC, period) AS r FROM q)
+SELECT CAST(city_geoid AS INTEGER) AS city_geoid, city_name, city_state_code, city_population2022, CAST(period AS INTEGER) AS "SaleRecordingYear",
+  bin AS "Total", "count", round("TaxRate_median", 9) AS "TaxRate_median", {steady_sql('"SaleAmt_mean"', 5)} AS "SaleAmt_mean" FROM best WHERE r = 1"""
+
+
+@case("total_report", TOTAL_REPORT_SQL)
+def total_report(spark, d):
+    """Per city the year with most sales, not pivoted; sales outside every city are one row."""
+    out = report.total_report(summary(tiles(spark, d), GEO, "Total"), "Snapshot", REPORT_GEO, REPORT_VALUES)
+    return out.withColumns({"TaxRate_median": F.round("TaxRate_median", 9), "SaleAmt_mean": steady("SaleAmt_mean", 5)})
+
+
+def _picked(report_: str, fields) -> str:
+    listed = ", ".join(f'"{f}" AS "{a}"' for f, a in fields)
+    return f"(SELECT city_geoid AS city, {listed} FROM ({report_}))"
+
+
+def _banded(labels):
+    return [(f"{v}_{l}",) * 2 for v in ("count", "TaxRate_median") for l in labels.values()]
+
+
+@case(
+    "combined_report",
+    f"""WITH {RATES}, spine AS (SELECT DISTINCT place_id, table_city, tax_rate_median_value FROM rates)
+    SELECT * EXCLUDE (city, city_1, city_2, city_3) FROM spine
+    LEFT JOIN {_picked(TOTAL_REPORT_SQL, [("count", "count"), ("TaxRate_median", "TaxRate_median")])} t ON t.city = place_id
+    LEFT JOIN (SELECT city AS city_1, * EXCLUDE (city) FROM {_picked(report_sql(SNAPSHOT, "SaleBinsNarrow", None, report.NARROW_LABELS), _banded(report.NARROW_LABELS))}) ON city_1 = place_id
+    LEFT JOIN (SELECT city AS city_2, * EXCLUDE (city) FROM {_picked(report_sql(SNAPSHOT, "SaleBinsWide", None, report.WIDE_LABELS), _banded(report.WIDE_LABELS))}) ON city_2 = place_id
+    LEFT JOIN (SELECT city AS city_3, * EXCLUDE (city) FROM {_picked(report_sql(SNAPSHOT, "SaleBins", None, report.ELEVEN_LABELS), [(f"TaxRate_median_{l}", f"bins_TaxRate_median_{l}") for l in report.ELEVEN_LABELS.values()])}) ON city_3 = place_id""",
+)
+def combined_report(spark, d):
+    """Every city of the benchmark with its totals and all band reports beside it."""
+    sold = tiles(spark, d)
+    families = {"SaleBinsNarrow": report.NARROW_LABELS, "SaleBinsWide": report.WIDE_LABELS, "SaleBins": report.ELEVEN_LABELS}
+    cube_ = cut_lineage(summary_cube(sold, GEO, ["Total", *families], {}, [SNAPSHOT]), "cube")
+    one = {f: one_table(cube_, GEO[0], f, SNAPSHOT) for f in ("Total", *families)}
+    total = report.total_report(one["Total"], "Snapshot", REPORT_GEO, REPORT_VALUES)
+    bands = [report.bin_report(one[f], f, labels, "Snapshot", REPORT_GEO, REPORT_VALUES) for f, labels in families.items()]
+    out = report.combined_report(rates(spark, d), total, *bands, columns=("place_id", "table_city", "tax_rate_median_value"))
+    return out.withColumns({c: F.round(f"`{c}`", 9) for c in out.columns if "TaxRate_median" in c})
