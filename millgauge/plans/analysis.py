@@ -23,7 +23,9 @@ from millgauge.operators.quantiles import (
 )
 from millgauge.operators.ranks import dense_rank_values, keep_modal_period, ntile
 from millgauge.operators.reshape import pivot_multi
+from millgauge.sources.staged import cut_lineage
 
+# The columns of the published quintile table.
 QUINTILE_VALUES = (
     "count",
     "SaleAmt_median",
@@ -43,7 +45,7 @@ def busiest_year_sales(tiles: DataFrame, benchmark: DataFrame, max_rate: float =
     """Trimmed sales of each city's busiest year, for cities the benchmark covers.
 
     The busiest year is chosen over all tiles, before any filter; tied years all stay, and a year
-    with a single sale does not count.
+    with a single sale does not count. The rows are staged, as every table made of them reads them again.
     """
     chosen = keep_modal_period(
         tiles, ["city_geoid"], "SaleRecordingYear", ties="dense", min_total=1
@@ -55,9 +57,10 @@ def busiest_year_sales(tiles: DataFrame, benchmark: DataFrame, max_rate: float =
         & (F.col("RecentSaleByYear") == 1)
     )
     covered = in_values_of(chosen, benchmark, "city_geoid", "place_id", "int")
-    return covered.withColumn(
+    named = covered.withColumn(
         "city_state", F.concat("city_name", F.lit(", "), "city_state_code")
     ).withColumn("city_geoid_int", F.col("city_geoid").try_cast("int"))
+    return cut_lineage(named, "busiest_sales")
 
 
 def with_city_spread(

@@ -11,6 +11,7 @@ from millgauge.operators.joins import equi_join
 from millgauge.operators.reshape import pivot_multi
 from millgauge.plans.analysis import busiest_rows
 
+# The columns of the published reports.
 GEO = (
     "city_geoid",
     "city_name",
@@ -98,6 +99,7 @@ def total_report(
     )
 
 
+# The columns of the published benchmark table.
 BENCHMARK_COLUMNS = (
     "year",
     "table_state",
