@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from millgauge.llm.mixing import mix, mixed_documents, sainte_lague
-from millgauge.llm.sharding import RoomTree, balanced_shards, best_fit_decreasing
+from millgauge.llm.sharding import RoomTree, balanced_shards, best_fit_decreasing, fixed_capacity_shards
 
 DOCS = "doc_id long, text string, source string, n_chars long, size string"
 
@@ -140,3 +140,38 @@ def test_shards_are_even_and_groups_whole(frame):
     assert all(len(v) == 1 for k, v in homes.items() if k != big)
     assert Counter((r.size, r.text_crc32) for r in found) == Counter((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for t in texts)
     assert balanced_shards(frame([], DOCS)).collect() == []
+
+
+def weighed(seed=3):
+    """Texts from a byte to several shards of 3,000, copies, one text with a third of all rows, and odd rows."""
+    draw = random.Random(seed)
+    rows = [(k, "x" * draw.choice([0, 1, 3, 40, 300, 900, 1_400, 2_000]) + str(k % draw.choice([7, 400]))) for k in range(400)]
+    rows += [(1_000 + k, "copy" * 20) for k in range(250)]
+    return rows + [(2_000, "y" * 10_000), (2_001, "z" * 2_992), (None, "é" * 100), (None, None), (2_002, None), (2_003, "")]
+
+
+@pytest.mark.parametrize("capacity, cell_shards", [(3_000, 1_000), (3_000, 20), (60_000, 1_000), (10**9, 1_000), (100, 50)])
+def test_as_few_shards_of_a_capacity_as_needed(frame, capacity, cell_shards):
+    rows = weighed()
+    docs = frame([(d, t, 1, "c") for d, t in rows], "doc_id long, text string, shard long, cell string")
+    found = fixed_capacity_shards(docs, capacity, cell_shards=cell_shards).collect()
+    size = lambda t: len((t or "").encode()) + 8
+    assert sorted(((r.doc_id, r.size) for r in found), key=str) == sorted(((d, size(t)) for d, t in rows), key=str)
+    held, homes, weight = {}, {}, {}
+    for r in found:
+        held.setdefault(r.shard, []).append(r.size)
+        homes.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+        weight[r.text_crc32, r.size] = weight.get((r.text_crc32, r.size), 0) + r.size
+    assert sorted(held) == list(range(len(held)))
+    assert all(sum(s) <= capacity or len(s) == 1 for s in held.values())
+    assert all(len(h) == 1 for g, h in homes.items() if weight[g] <= capacity)
+    _, local = best_fit_decreasing(np.array([n for g, w in weight.items() for n in ([w] if w <= capacity else [g[1]] * (w // g[1]))]), capacity=capacity)
+    cells = max(1, sum(map(sum, held.values())) // (capacity * cell_shards))
+    assert len(held) <= len(local) * 1.05 + cells + 1
+
+
+def test_capacity_without_documents(frame):
+    docs = frame([], "doc_id long, text string")
+    assert fixed_capacity_shards(docs, 10).collect() == []
+    with pytest.raises(ValueError):
+        fixed_capacity_shards(docs, 0)
