@@ -17,7 +17,6 @@ DOCS = "doc_id long, text string, source string, n long, ids string"
 @pytest.fixture(scope="module")
 def whole():
     t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -39,7 +38,6 @@ def test_ids_of_any_text(text):
     t = test_ids_of_any_text
     if not hasattr(t, "both"):
         tokens = Tokenizer.from_file(FILE)
-        tokens.encode_special_tokens = True
         t.both = Encoder(open(FILE, encoding="utf-8").read()), tokens
     own, tokens = t.both
     assert list(np.frombuffer(own(text), "<u4")) == tokens.encode(text, add_special_tokens=False).ids
