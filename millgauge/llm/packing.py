@@ -19,6 +19,7 @@ from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millgauge.sources.staged import cut_lineage, scratch
@@ -26,8 +27,10 @@ from millgauge.sources.staged import cut_lineage, scratch
 WINDOW, PACKET, END = 2_048, 512, 1
 #: Rows, and turns, of a range that one task numbers (speed only).
 RANGE_ROWS, RANGE_TURNS = 20_000, 4_000
-#: Words whose ids a task remembers; it starts anew when there are more.
+#: Words whose ids an encoder remembers; it starts anew when there are more.
 REMEMBERED = 300_000
+#: Bytes of text that a task encodes at once, but for a longer text (speed only).
+AT_ONCE = 8_000_000
 
 #: Fixed value: the split pattern of byte-level tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,9 +58,10 @@ class Encoder:
     The file's added tokens that stand in a text are ids of their own, as in the tokenizer.
 
     A byte-level tokenizer never joins a space between two other visible characters to what stands before
-    it, so a text is cut there and the ids of a word are remembered. With the plain vocabulary (ids in the
-    order of the merges) the words are encoded by tiktoken, which gives the same ids as the tokenizer and
-    is faster; any other file is used through its tokenizer.
+    it, so a text is cut there: of single texts the ids of a word are remembered, of many texts each distinct
+    word is encoded once. With the plain vocabulary (ids in the order of the merges) the words are encoded by
+    tiktoken, which gives the same ids as the tokenizer and is faster; any other file is used through its
+    tokenizer.
     """
 
     def __init__(self, file: str) -> None:
@@ -80,6 +84,9 @@ class Encoder:
                 self.added = {t: np.array([n], "<u4").tobytes() for t, n in added.items()}
             ranks = {bytes(back[c] for c in t): n for t, n in model["vocab"].items() if t not in added}
             own = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+            self.bytes_of[list(ranks.values())] = list(map(len, ranks))
+            self.long_ids = own.encode_to_numpy
             self.ids = lambda text: np.array(own.encode_ordinary(text), "<u4").tobytes()
         else:
             whole = Tokenizer.from_str(file)
@@ -100,6 +107,44 @@ class Encoder:
             return self.piece(text)
         return b"".join(self.added[t] if k % 2 else self.piece(t) for k, t in enumerate(self.cut.split(text)))
 
+    def many(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text; a null has none."""
+        texts = texts.fill_null("")
+        if self.words is None:
+            return [self.ids(t) if t else b"" for t in texts.to_pylist()]
+        if not len(texts):
+            return []
+        words = pc.split_pattern(texts, " ")
+        starts = words.offsets.to_numpy() - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        codes, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        blank = pc.not_equal(pc.utf8_trim_whitespace(known), known)
+        blank = pc.or_(blank, pc.equal(pc.binary_length(known), 0)).to_numpy(zero_copy_only=False)
+        # all distinct words in one text; a word's ids end where its bytes end
+        clear = known.filter(pa.array(~blank))
+        line = pc.binary_join(pa.ListArray.from_arrays([0, len(clear)], clear), " ")[0].as_py()
+        ids = np.asarray(self.long_ids(" " + line) if line else [], "<u4")
+        ends = np.cumsum(pc.binary_length(clear).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        sizes = np.zeros(len(known), np.int64)
+        sizes[~blank] = np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1, prepend=0)
+        # the first word has no space before it; a text that is not cut stands there whole
+        first = starts[:-1]
+        odd = blank[codes]
+        odd[first] = False
+        whole = np.add.reduceat(odd, first, dtype=np.int64) > 0
+        heads, single = [], np.diff(starts) == 1
+        for k, (text, head) in enumerate(zip(texts.to_pylist(), known.take(pa.array(codes[first])).to_pylist())):
+            whole[k] |= bool(single[k] or head[-1:].isspace() or self.cut and self.cut.search(text))
+            heads.append(self(text) if whole[k] else self.ids(head) if head else b"")
+        codes[np.repeat(whole, np.diff(starts))] = len(known) + len(heads)
+        codes[first] = len(known) + np.arange(len(heads))
+        spans = np.concatenate([[0], 4 * sizes, [len(h) for h in heads], [0]]).cumsum()
+        held = pa.py_buffer(ids.tobytes() + b"".join(heads))
+        blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(spans) - 1, [None, pa.py_buffer(spans), held])
+        _, places, data = blobs.take(pa.array(codes)).buffers()
+        cuts = np.frombuffer(places, np.int64)[starts].tolist()
+        return [data[a:b].to_pybytes() for a, b in zip(cuts, cuts[1:])]
+
     def piece(self, text: str) -> bytes:
         """Ids of a text that holds no added token."""
         first, *rest = text.split(" ")
@@ -124,13 +169,15 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, toke
     def encode(batches):
         encoder, press = Encoder(spec.value), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
+            sizes = pc.binary_length(batch.column(3)).fill_null(0).to_numpy(zero_copy_only=False)
+            filled = np.cumsum(sizes, dtype=np.int64) // AT_ONCE
+            bounds = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(batch)]
+            for at, to in zip(bounds, bounds[1:]):
+                part = batch.slice(at, to - at)
                 n, blobs = [], []
-                for text in part.column(3).to_pylist():
-                    ids = (encoder(text) if text else b"") + last
-                    n.append(len(ids) // 4)
-                    blobs.append(press.compress(ids))
+                for ids in encoder.many(part.column(3)):
+                    n.append(len(ids) // 4 + 1)
+                    blobs.append(press.compress(ids + last))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:3], pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["row", "id", "source", "n", "ids"]
                 )

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -165,3 +166,36 @@ def test_a_source_without_a_proportion_is_an_error(frame):
             pack(docs, FILE, proportions=given)
     whole = pack(docs, FILE, proportions={"a": 1.0, "b": 1.0, None: 2.0, "unused": 1.0})
     assert {r.doc_id for r in whole.collect()} == set(range(9))
+
+
+def test_ids_of_many_texts(spark, whole, encoder):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts += [f"{a}{s}{b}" for s in spaces for a in ("", "x", "x ", " ", "x.") for b in ("", "y", " y", " y z", "\u0300 z")]
+    texts += [None, "", " ", "  two", "a b", "a <|endoftext|> b", "a<|endoftext|", "same same  same", "x" * 3_000]
+    expected = [np.array(whole(t or ""), "<u4").tobytes() for t in texts]
+    for part in (slice(None), slice(7, 900), slice(-9, None), slice(-9, -8), slice(0, 0)):
+        assert encoder.many(pa.array(texts, pa.string())[part]) == expected[part]
+    file = str(public_tokenizers.path("word_bpe_49k.json"))
+    other = Encoder(open(file, encoding="utf-8").read())
+    assert other.many(pa.array(["a b", None, ""])) == [other("a b"), b"", b""]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from(list("ab 's\n\té\u00a0\u3000\u2028.,12'!ßЖ中\x85\x1c")), max_size=20) | st.text(max_size=9), max_size=6))
+def test_ids_of_any_texts(texts):
+    t = test_ids_of_any_texts
+    if not hasattr(t, "own"):
+        t.own = Encoder(open(FILE, encoding="utf-8").read())
+    assert t.own.many(pa.array(texts, pa.string())) == [t.own.ids(x or "") for x in texts]
+
+
+def test_many_texts_encode_a_distinct_word_once(monkeypatch):
+    own = Encoder(open(FILE, encoding="utf-8").read())
+    texts = ["start " + " ".join(f"w{k}x{j % 7}" for j in range(200)) for k in range(50)] * 20
+    seen = []
+    for name in ("ids", "long_ids"):
+        monkeypatch.setattr(own, name, lambda text, run=getattr(own, name): (seen.append(len(text)), run(text))[1])
+    own.words.encode = own.ids
+    own.many(pa.array(texts))
+    assert sum(seen) < 10 * (50 * 7 + len(texts)) and len(seen) == 1 + len(texts)
