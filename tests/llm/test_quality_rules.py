@@ -57,6 +57,17 @@ def test_each_rule_fails_what_it_names(frame):
     assert failed(frame, "the same few words of it " * 20) == ["no repeated passages"]
 
 
+def test_a_share_at_its_bound_is_allowed(frame):
+    """The first of equal lines repeats none: 3 of 10 lines are the 30 percent allowed, 4 of 11 are above."""
+    draw = random.Random(4)
+    plain = [f"{draw.choice(['the', 'of', 'and', 'to'])} {''.join(draw.choices('abcdefgh', k=6))}" for _ in range(60)]
+    lines = ["\n".join(" ".join(plain[i : i + 10]) for i in range(0, 60, 10))]
+    assert failed(frame, "\n".join(lines + ["the same line"] * 4)) == []
+    assert failed(frame, "\n".join(lines + ["the same line"] * 5)) == ["few repeated lines"]
+    assert failed(frame, " ".join(p.split()[0] + " " + p.split()[1] * 6 for p in plain)) == ["length of words"]
+    assert failed(frame, "the same few words of it " * 20) == ["no repeated passages"]
+
+
 def test_another_table_of_rules(frame):
     docs = frame([(1, "one two"), (2, "one"), (3, None)], "doc_id long, text string")
     kept = keep_by_rules(docs, base=(), rules=[Rule("two", "n_words", low=2)])
