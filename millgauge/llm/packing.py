@@ -30,7 +30,7 @@ RANGE_ROWS, RANGE_TURNS = 20_000, 4_000
 #: Words whose ids an encoder remembers; it starts anew when there are more.
 REMEMBERED = 300_000
 #: Bytes of text that a task encodes at once, but for a longer text (speed only).
-AT_ONCE = 8_000_000
+AT_ONCE = 2_000_000
 
 #: Fixed value: the split pattern of byte-level tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
