@@ -51,11 +51,11 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def runs(offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Consecutive texts in groups of about RUN_BYTES bytes (a longer text is a group of its own)."""
+def runs(offsets: np.ndarray, size: int = RUN_BYTES) -> list[tuple[int, int]]:
+    """Consecutive texts in groups of about ``size`` bytes (a longer text is a group of its own)."""
     out, first, n = [], 0, len(offsets) - 1
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + RUN_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(max(last, first + 1), n)
         out.append((first, last))
         first = last

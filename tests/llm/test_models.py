@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,19 @@ def test_statistics_do_not_depend_on_the_batch():
     assert not whole[1:3].any()
 
 
+def test_statistics_of_a_large_batch_hold_little_memory():
+    texts = [f"Ab{k} c.\n" + "some words | and more " * 150 for k in range(3000)]  # 10 MB
+    batch = pa.array(texts)
+    statistics(batch.slice(0, 3))
+    tracemalloc.start()
+    found = statistics(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    some = [0, 77, 78, 1500, 2999]
+    assert np.allclose(found[some], np.vstack([statistics(pa.array([texts[k]])) for k in some]))
+
+
 def test_isotonic_is_the_least_squares_fit():
     draw = random.Random(1)
     x = np.arange(60.0)
