@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millgauge.llm.words import WordHashes, runs, text_bytes
+from millgauge.llm.words import SHORT_RUN_BYTES, WordHashes, runs, text_bytes
 from millgauge.sources.staged import cut_lineage
 
 #: Labelled rows used to fit, at most about this many, chosen by a hash of their id.
@@ -23,8 +23,6 @@ FIT_ROWS = 200_000
 FEATURES, RIDGE, WIDTH, SEED = 256, 1e-4, 3.0, 11
 #: Raw scores are calibrated in steps of this size.
 STEP = 1e-3
-#: Bytes of texts measured at once, but for a longer text; the arrays held meanwhile are about 50 times this size.
-AT_ONCE = 256 << 10
 
 #: Kinds of bytes: blanks, line ends, A-Z, a-z, digits, ends of sentences, commas and quotes, bars, other
 #: signs, all that is not ASCII.
@@ -45,7 +43,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     data, offsets = text_bytes(texts)
     hashes, kind = WordHashes(), kinds()
     out = np.zeros((len(offsets) - 1, STATISTICS))
-    for first, last in runs(offsets, AT_ONCE):
+    for first, last in runs(offsets, SHORT_RUN_BYTES):
         cuts = offsets[first : last + 1]
         sizes = np.diff(cuts)
         place = np.repeat(np.arange(last - first) * KINDS, sizes)

@@ -12,6 +12,8 @@ import pyarrow as pa
 
 #: Texts are worked on in runs of about this many bytes, which bounds the arrays in memory.
 RUN_BYTES = 4 << 20
+#: The same where nothing is shared between texts; the arrays held meanwhile are about 50 times this size.
+SHORT_RUN_BYTES = 256 << 10
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -108,7 +110,7 @@ def shingle_sets(texts: pa.Array, size: int):
     """The shingle set of each text, in order."""
     data, offsets = text_bytes(texts)
     hashes = WordHashes()
-    for first, last in runs(offsets):
+    for first, last in runs(offsets, SHORT_RUN_BYTES):
         words, at = hashes(data, offsets[first : last + 1])
         for k in range(last - first):
             yield shingles(words[at[k] : at[k + 1]], size)

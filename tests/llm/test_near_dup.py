@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -102,3 +103,16 @@ def test_parities_bound_the_difference():
     b = a[:-30]
     bits = sum(int(x).bit_count() for x in (parities(a) ^ parities(b)).view(np.uint64))
     assert 0 < bits <= 30
+
+
+def test_shingle_sets_of_a_large_batch_hold_little_memory():
+    texts = [f"Ab{k} c.\n" + "some words | and more " * 150 for k in range(3000)]  # 10 MB
+    batch = pa.array(texts)
+    tracemalloc.start()
+    found = [(len(s), int(s.sum())) for s in shingle_sets(batch, 5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    for k in (0, 77, 78, 1500, 2999):
+        (alone,) = shingle_sets(pa.array([texts[k]]), 5)
+        assert found[k] == (len(alone), int(alone.sum()))
